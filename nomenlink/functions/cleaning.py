@@ -101,7 +101,18 @@ def clean_names(
 
     if kind == "common":
         df = df.withColumn(out, F.when(x.contains(","), invert_comma(x)).otherwise(x))
-    return df.withColumn(out, F.when(F.char_length(x) >= rules.MIN_LENGTH, x))
+    usable = F.when(F.char_length(x) >= rules.MIN_LENGTH, x)
+    return _once(df.select(*(c for c in df.columns if c != out), usable.alias(out)), out)
+
+
+def _once(df: DataFrame, col: str) -> DataFrame:
+    """Keep later filters from repeating the expression that makes the column.
+
+    A filter moves below the projection it reads, and takes a copy of every expression
+    along. It does not move below a generator, here of exactly one row per row.
+    """
+    others = [c for c in df.columns if c != col]
+    return df.select(*others, F.explode(F.array(F.col(col))).alias(col))
 
 
 def check_filters(spark: SparkSession, filters: Sequence[str]) -> tuple[str, ...]:
