@@ -31,6 +31,7 @@ from ..operators.candidates import (
     review_spelling,
     unchecked_codes,
 )
+from ..operators.groups import keep_if_any
 from ..operators.joins import BROADCAST_BYTES, attach
 from ..operators.lookups import (
     best_match,
@@ -54,7 +55,7 @@ from ..operators.policies import (
 )
 from ..sources.authorities import Authorities
 from ..sources.names import check_columns, distinct_names
-from ..sources.staging import Staged, stage
+from ..sources.staging import Staged, stage, stage_unless_small
 from .ranking import (
     BEST_RANK,
     ITIS_RANK,
@@ -140,8 +141,10 @@ def resolve_pairs(
 
     # One row of facts per name tells which search answers for a pair.
     linked = with_link_facts(decided.frame, links.frame)
-    facts = stage(name_facts(linked), "name_facts")
-    spellings = stage(spelling_facts(linked), "spelling_facts")
+    facts = stage_unless_small(name_facts(linked), "name_facts", decided, broadcast_bytes)
+    spellings = stage_unless_small(
+        spelling_facts(linked), "spelling_facts", decided, broadcast_bytes
+    )
     known = pairs
     for kind, key, prefix in zip(KINDS, ("sci_clean", "comm_clean"), ("sci", "comm")):
         mine = facts.where(F.col("kind") == kind)
@@ -173,9 +176,8 @@ def resolve_pairs(
     )
     columns = ("id", "sci_clean", "comm_clean", *CODE_COLUMNS)
     found = by_name.select(*columns).unionByName(by_code.select(*columns))
-    found = found.where(F.col("code").isNotNull())
-    reviewed = stage(review_spelling(found), "reviewed").frame
-    exact = prefer_exact_spelling(reviewed).select("id", *CODE_COLUMNS)
+    found = review_spelling(found.where(F.col("code").isNotNull()))
+    exact = prefer_exact_spelling(found).select("id", *CODE_COLUMNS)
     return stage(combine_services(exact), "candidates")
 
 
@@ -212,12 +214,14 @@ def cross_all(
     """What every code that may be definitive leads to in the other code type.
 
     Besides the definitive codes, one of several records can become so by its spelling.
+    Where a code leads to definitive ones, its other links are dropped.
     """
     may_be = F.col("code_definitive") | F.coalesce("several", F.lit(False))
     sent = unchecked_codes(decided.where(may_be).select("code_type", "code"), checked)
     aphias = distinct_keys(sent.where(F.col("code_type") == APHIAID), "code", "code")
     tsns = distinct_keys(sent.where(F.col("code_type") == TSN), "code", "code")
-    return tsn_links(aphias, authorities).unionByName(aphia_links(tsns, authorities))
+    links = tsn_links(aphias, authorities).unionByName(aphia_links(tsns, authorities))
+    return keep_if_any(links, ["sent", "code_type"], F.col("code_definitive"))
 
 
 def _counts(rows: DataFrame, **keys: str) -> Callable[[], DataFrame]:

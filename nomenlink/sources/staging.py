@@ -62,10 +62,30 @@ def stage(df: DataFrame, label: str) -> Staged:
     return Staged(frame, found["rows"], found["bytes"] or 0)
 
 
+def stage_unless_small(df: DataFrame, label: str, source: Staged, limit: int) -> Staged:
+    """Stage a frame derived from a staged table, unless that bounds it to be small.
+
+    The frame must have no more rows than its source, and only fixed-size columns next
+    to strings of the source. Its size is then bounded without running it.
+    """
+    bound = source.size + source.rows * 16 * _leaves(df.schema)
+    if bound <= limit:
+        return Staged(df, source.rows, bound)
+    return stage(df, label)
+
+
+def _leaves(kind: T.DataType) -> int:
+    """Number of values in a row, counting those inside structs."""
+    if isinstance(kind, T.StructType):
+        return sum(_leaves(field.dataType) for field in kind.fields)
+    return 1
+
+
 def _row_bytes(df: DataFrame) -> Column:
-    """Payload of a row: string bytes, plus sixteen for every field."""
-    total = F.lit(16 * len(df.columns)).cast("bigint")
-    for field in df.schema.fields:
-        if isinstance(field.dataType, T.StringType):
-            total = total + F.coalesce(F.octet_length(F.col(field.name)), F.lit(0))
-    return total
+    """Payload of a row: string bytes, plus sixteen for every value."""
+    strings = [
+        F.coalesce(F.octet_length(F.col(field.name)), F.lit(0))
+        for field in df.schema.fields
+        if isinstance(field.dataType, T.StringType)
+    ]
+    return sum(strings, F.lit(16 * _leaves(df.schema)).cast("bigint"))

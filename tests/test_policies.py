@@ -1,0 +1,263 @@
+import pytest
+
+from nomenlink import (
+    Authorities,
+    decide_best,
+    decide_itis,
+    decide_worms,
+    decide_worms_common,
+    xwalk_aphia,
+    xwalk_tsn,
+)
+from nomenlink.operators.lookups import (
+    best_match,
+    derive_best_match,
+    search_itis,
+    search_worms,
+    verify_match,
+)
+
+SCHEMAS = {
+    "worms_taxa": "aphia_id long, scientificname string, status string, valid_aphia_id long, valid_name string",
+    "worms_vernacular": "aphia_id long, vernacular string",
+    "worms_best_match": "query string, aphia_id long, multiple_matches boolean, pattern_match boolean",
+    "itis_names": "tsn long, combined_name string",
+    "itis_vernacular": "tsn long, common_name string",
+    "itis_units": "tsn long, usage_rating string",
+    "itis_synonyms": "tsn long, accepted_tsn long, accepted_name string",
+    "xwalk": "aphia_id long, tsn long",
+}
+
+
+def snapshots(spark, **tables):
+    made = {n: spark.createDataFrame(tables.get(n, []), s) for n, s in SCHEMAS.items()}
+    return Authorities(**made)
+
+
+def names(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "name string")
+
+
+def codes(df, *columns):
+    columns = columns or ("code", "code_definitive", "sugg_spelling")
+    found = [tuple(r) for r in df.select(*columns).collect()]
+    return sorted(found, key=lambda row: [(v is None, v) for v in row])
+
+
+RECORDS = "name string, kind string, status string, valid_aphia_id long, valid_name string"
+
+
+@pytest.mark.parametrize(
+    "records, want",
+    [
+        # A single record with a code is definitive, whatever its status.
+        ([("unaccepted", 1, "x")], [(1, True, "X")]),
+        # A single record without a code is not.
+        ([("accepted", None, None)], [(None, False, None)]),
+        # One coded record among others wins.
+        ([("accepted", None, None), ("unaccepted", 2, "b")], [(2, True, "B")]),
+        # One accepted record among several.
+        ([("accepted", 1, "a"), ("unaccepted", 2, "b"), (None, 3, "c")], [(1, True, "A")]),
+        # Several accepted ones stay open.
+        ([("accepted", 1, "a"), ("accepted", 2, "b"), ("unaccepted", 3, "c")],
+         [(1, False, "A"), (2, False, "B")]),
+        # None accepted: all stay.
+        ([("unaccepted", 1, "a"), (None, 2, "b")], [(1, False, "A"), (2, False, "B")]),
+        # The accepted one has no code.
+        ([("accepted", None, "a"), ("x", 2, "b"), ("x", 3, "c")], [(None, False, "A")]),
+    ],
+)
+def test_worms_policy(spark, records, want):
+    rows = [("N", "scientific", *r) for r in records]
+    other = [("M", "scientific", "accepted", 9, "m")]
+    decided = decide_worms(spark.createDataFrame(rows + other, RECORDS))
+    assert codes(decided.where("name = 'N'")) == want
+    assert codes(decided.where("name = 'M'")) == [(9, True, "M")]
+
+
+def test_the_two_kinds_of_one_name_are_judged_apart(spark):
+    rows = [("N", "scientific", "x", 1, "a"), ("N", "common", "x", 2, "b")]
+    decided = decide_worms(spark.createDataFrame(rows, RECORDS))
+    assert codes(decided, "code", "code_definitive", "code_src") == [
+        (1, True, "scientific"), (2, True, "common")
+    ]
+
+
+@pytest.mark.parametrize(
+    "pattern, code, want",
+    [(False, 1, True), (True, 1, False), (None, 1, False), (False, None, False)],
+)
+@pytest.mark.parametrize("multiple", [True, False, None])
+def test_best_match_policy(spark, pattern, code, want, multiple):
+    row = spark.createDataFrame(
+        [("N", "common", multiple, pattern, code, " valid ")],
+        "name string, kind string, multiple_matches boolean, pattern_match boolean, "
+        "valid_aphia_id long, valid_name string",
+    )
+    got = decide_best(row).first()
+    assert (got.code, got.code_definitive, got.sugg_spelling) == (code, want, "VALID")
+    assert (got.code_svc, got.code_type, got.code_src) == ("TAXIZE & WORRMS", "APHIAID", "common")
+
+
+def test_verified_match_needs_both_id_and_name(spark):
+    taxa = [(1, "a", "accepted", 10, "x"), (2, "b", "accepted", None, "x"), (3, "c", "accepted", 30, None)]
+    best = [("A", 1, False, False), ("B", 2, False, False), ("C", 3, False, False), ("D", 4, False, False)]
+    known = snapshots(spark, worms_taxa=taxa, worms_best_match=best)
+    found = verify_match(best_match(names(spark, "A", "B", "C", "D", "E"), known, "scientific"), known)
+    got = codes(found, "name", "valid_aphia_id", "valid_name")
+    assert got == [("A", 10, "X"), ("B", None, None), ("C", None, None), ("D", None, None)]
+
+
+def test_best_match_takes_one_row(spark):
+    best = [("A", 5, False, True), ("A", 7, False, False), ("A", 6, False, False), ("B", 1, True, None)]
+    found = best_match(names(spark, "A", "B"), snapshots(spark, worms_best_match=best), "scientific")
+    got = codes(found, "name", "aphia_id", "multiple_matches", "pattern_match")
+    assert got == [("A", 6, True, False), ("B", 1, True, None)]
+
+
+def test_derived_best_match(spark):
+    taxa = [(4, "Gadus morhua"), (3, "Gadus ogac"), (9, "Gadus"), (2, "Gadusia"), (5, "Liparis")]
+    known = snapshots(spark, worms_taxa=[(i, n, "accepted", i, n) for i, n in taxa])
+    found = derive_best_match(names(spark, "GADUS", "GADUS M", "LIPA", "ADUS"), known, "scientific")
+    got = codes(found, "name", "aphia_id", "multiple_matches", "pattern_match")
+    assert got == [
+        ("GADUS", 9, True, False), ("GADUS M", 4, False, True), ("LIPA", 5, False, True)
+    ]
+
+
+def worms_common(spark, records, sci):
+    decided = decide_worms(
+        spark.createDataFrame([("COD", "common", *r) for r in records], RECORDS)
+    )
+    pairs = spark.createDataFrame(
+        [(i, s, "COD") for i, s in enumerate(sci)], "id long, sci_clean string, comm_clean string"
+    )
+    return codes(decide_worms_common(pairs, decided), "id", "code", "code_definitive")
+
+
+def test_scientific_name_chooses_among_records_of_a_common_name(spark):
+    records = [("accepted", 1, "aa"), ("accepted", 2, "bb"), ("accepted", 3, "bb"), ("x", 4, "cc")]
+    # One match is definitive and stays alone; two stay open; none or no name change nothing.
+    # CC is not accepted, so it is no candidate any more.
+    assert worms_common(spark, records, ["AA", "BB", "CC", None]) == [
+        (0, 1, True),
+        (1, 2, False), (1, 3, False),
+        (2, 1, False), (2, 2, False), (2, 3, False),
+        (3, 1, False), (3, 2, False), (3, 3, False),
+    ]
+
+
+def test_scientific_name_is_not_asked_for_a_single_record(spark):
+    assert worms_common(spark, [("x", 1, "aa")], ["AA", "ZZ"]) == [(0, 1, True), (1, 1, True)]
+    # A single accepted record among several is confirmed or left as it is.
+    records = [("accepted", 1, "aa"), ("x", 2, "bb")]
+    assert worms_common(spark, records, ["AA", "BB"]) == [(0, 1, True), (1, 1, True)]
+
+
+def test_a_matching_record_without_a_code_is_not_definitive(spark):
+    records = [("x", None, "aa"), ("x", 2, "bb"), ("x", 3, "cc")]
+    assert worms_common(spark, records, ["AA"]) == [(0, None, False)]
+
+
+FOUND = (
+    "name string, kind string, tsn long, found_name string, is_valid boolean, "
+    "accepted_tsn long, accepted_name string"
+)
+
+
+@pytest.mark.parametrize(
+    "found, want",
+    [
+        # The genus does not return its species.
+        ([(1, "GADUS", False, None, None), (2, "GADUS MORHUA", True, None, None)], [(1, True, "GADUS")]),
+        # Only longer names: they all stay, unless there is one.
+        ([(2, "GADUS MORHUA", True, None, None), (3, "GADUS OGAC", True, None, None)],
+         [(2, False, "GADUS MORHUA"), (3, False, "GADUS OGAC")]),
+        ([(2, "GADUS MORHUA", None, None, None)], [(2, True, "GADUS MORHUA")]),
+        # Valid ones go first.
+        ([(1, "GADUS", True, None, None), (2, "GADUS", False, None, None)], [(1, True, "GADUS")]),
+        # A synonym becomes its accepted unit, once.
+        ([(1, "GADUS", False, 7, " boreo ")], [(7, True, "BOREO")]),
+        # Several left, one of them spelled like the name.
+        ([(1, "GADUS", False, 7, "boreo"), (2, "GADUS", False, None, None)], [(2, True, "GADUS")]),
+        # Several spelled like it: all stay.
+        ([(1, "GADUS", True, None, None), (2, "GADUS", True, None, None)],
+         [(1, False, "GADUS"), (2, False, "GADUS")]),
+        # Two synonyms of one unit are two answers, reported once.
+        ([(1, "GADUS", False, 7, "boreo"), (2, "GADUS", False, 7, "boreo")], [(7, False, "BOREO")]),
+    ],
+)
+def test_itis_policy(spark, found, want):
+    rows = [("GADUS", "scientific", *f) for f in found]
+    assert codes(decide_itis(spark.createDataFrame(rows, FOUND))) == want
+
+
+def test_itis_search_continues_by_whole_words(spark):
+    known = snapshots(
+        spark,
+        itis_names=[(1, "Gadus"), (2, "Gadus morhua"), (2, "Gadus morhua"), (3, "Gadusia"), (4, None)],
+        itis_vernacular=[(5, "cod"), (6, "cod liver")],
+    )
+    found = search_itis(names(spark, "GADUS", "GADUS MORHUA"), known, "scientific")
+    assert codes(found, "name", "tsn") == [("GADUS", 1), ("GADUS", 2), ("GADUS MORHUA", 2)]
+    found = search_itis(names(spark, "COD"), known, "common")
+    assert codes(found, "tsn", "found_name") == [(5, "COD"), (6, "COD LIVER")]
+
+
+def test_worms_search_is_exact(spark):
+    known = snapshots(
+        spark,
+        worms_taxa=[(1, " Gadus ", "accepted", 1, "Gadus"), (2, "Gadus morhua", "accepted", 2, "m")],
+        worms_vernacular=[(1, "cod"), (1, "COD"), (2, "cod"), (9, "cod")],
+    )
+    found = search_worms(names(spark, "GADUS"), known, "scientific")
+    assert codes(found, "valid_aphia_id") == [(1,)]
+    # One record per taxon, however often it has the name; ids without a record give none.
+    found = search_worms(names(spark, "COD"), known, "common")
+    assert codes(found, "valid_aphia_id") == [(1,), (2,)]
+
+
+def test_crosswalk_to_tsn(spark):
+    known = snapshots(
+        spark,
+        xwalk=[(1, 11), (1, 12), (1, 12), (2, 21), (3, None)],
+        itis_units=[(11, "valid"), (12, "invalid"), (21, None)],
+    )
+    rows = spark.createDataFrame([(100, 1), (101, 1), (102, 2), (103, 3), (104, 4)], "id long, code long")
+    got = codes(xwalk_tsn(rows, known), "id", "code", "code_definitive", "code_src")
+    assert got == [
+        (100, 11, True, "APHIAID"), (100, 12, False, "APHIAID"),
+        (101, 11, True, "APHIAID"), (101, 12, False, "APHIAID"),
+        (102, 21, False, "APHIAID"), (103, None, False, "APHIAID"), (104, None, False, "APHIAID"),
+    ]
+
+
+def test_crosswalk_to_aphia(spark):
+    known = snapshots(
+        spark,
+        xwalk=[(1, 11), (2, 12), (3, 13)],
+        worms_taxa=[(1, "a", "x", 100, "valid a"), (2, "b", "x", None, "ignored")],
+    )
+    rows = spark.createDataFrame([(1, 11), (2, 12), (3, 13), (4, 14)], "id long, code long")
+    got = codes(xwalk_aphia(rows, known), "id", "code", "code_definitive", "sugg_spelling", "code_src")
+    assert got == [
+        (1, 100, True, "VALID A", "TSN"), (2, 2, False, None, "TSN"),
+        (3, None, False, None, "TSN"), (4, None, False, None, "TSN"),
+    ]
+
+
+def test_snapshots_with_bad_codes_do_not_fail(spark):
+    tables = {n: spark.createDataFrame([], s) for n, s in SCHEMAS.items()}
+    tables["xwalk"] = spark.createDataFrame([("1", "11"), ("x", "12"), ("3", "")], "aphia_id string, tsn string")
+    got = codes(Authorities(**tables).xwalk, "aphia_id", "tsn")
+    assert got == [(1, 11), (3, None), (None, 12)]
+    with pytest.raises(ValueError, match="lacks the columns"):
+        Authorities(**{**tables, "itis_units": tables["xwalk"]})
+
+
+def test_snapshots_are_read_from_a_folder(spark, tmp_path):
+    for name, schema in SCHEMAS.items():
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    read = Authorities.read(spark, str(tmp_path))
+    assert read.worms_best_match is not None and read.staged().xwalk.count() == 0
+    assert Authorities.read(spark, str(tmp_path), best_match=False).worms_best_match is None
