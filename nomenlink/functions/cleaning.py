@@ -87,17 +87,13 @@ def clean_names(
     df = df.withColumn(out, F.upper(F.col(col).cast("string")))
     df = df.withColumn(out, F.when(~x.rlike(rules.drops(kind)), x))
 
-    # Most names match no removal rule. One alternation finds the others, so that
-    # only they pay for the ordered chain. Caller patterns are tested one by one, as
-    # joining them would renumber their groups.
+    # A name matches few of the removal rules. Only those touch it: a rule is tried if
+    # its trigger text occurs, or without one if its pattern does.
     df = df.withColumn(out, trim(collapse_spaces(x)))
-    needs_rules = x.rlike("|".join(rules.removals(kind)))
-    for pattern in extra:
-        needs_rules = needs_rules | x.rlike(pattern)
-    cleaned = x
     for pattern in rules.removals(kind, extra):
-        cleaned = remove(cleaned, pattern)
-    df = df.withColumn(out, F.when(needs_rules, cleaned).otherwise(x))
+        trigger = rules.TRIGGERS.get(pattern) if pattern not in extra else None
+        applies = x.rlike(pattern) if trigger is None else x.contains(trigger)
+        df = df.withColumn(out, F.when(applies, remove(x, pattern)).otherwise(x))
 
     if kind == "common":
         df = df.withColumn(out, F.when(x.contains(","), invert_comma(x)).otherwise(x))

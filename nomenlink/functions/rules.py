@@ -25,7 +25,19 @@ SHARED_REMOVALS = (
 
 # --- fixed values: patterns removed from one kind of name only, last ---
 SCIENTIFIC_REMOVALS = (r"\bOBSOLETE\b", r"(?s)\(.*?\)")
-COMMON_REMOVALS = (r"[()]",)
+COMMON_REMOVALS = (r"\(", r"\)")
+
+# --- fixed values: text without which a pattern cannot match, where there is one ---
+TRIGGERS = {
+    r"(\(NS\)|\bNS)": "NS",
+    r"(?s)(-|,|\s)?UNIDENTIFIED.*": "UNIDENTIFIED",
+    r"(\)|^|-|,|\s)?UNID(EN)?(T?)\.*": "UNID",
+    r"\b[a-zA-Z]{1,2}\.": ".",
+    r"\bOBSOLETE\b": "OBSOLETE",
+    r"(?s)\(.*?\)": "(",
+    r"\(": "(",
+    r"\)": ")",
+}
 
 # --- fixed values: whole words or phrases that make the field useless ---
 SHARED_DROP_WORDS = (
