@@ -26,7 +26,6 @@ from ..operators.assemble import (
     with_flags,
 )
 from ..operators.candidates import (
-    combine_services,
     prefer_exact_spelling,
     review_spelling,
     unchecked_codes,
@@ -159,17 +158,17 @@ def resolve_pairs(
         known, spellings, both, "left",
         _counts(pairs, comm_clean="comm_clean", sci_clean="sci_clean"), broadcast_bytes,
     )
-    chosen = stage(searches(ranked_pairs(known)), "chosen").frame
+    chosen = stage(searches(ranked_pairs(known)), "chosen")
 
     # Only the chosen search of a pair is given to it.
-    by_name = chosen.where(F.col("name").isNotNull()).drop("sent")
+    by_name = chosen.frame.where(F.col("name").isNotNull()).drop("sent")
     by_name = attach(
         by_name, decided, [(c, c) for c in ("name", "code_type", "rank")], "inner",
         _counts(by_name, name="name", code_type="code_type", rank="rank"), broadcast_bytes,
     )
     by_name = by_name.withColumn("several", F.coalesce("several", F.lit(False)))
     by_name = narrow_by_scientific(by_name)
-    by_code = chosen.where(F.col("sent").isNotNull())
+    by_code = chosen.frame.where(F.col("sent").isNotNull())
     by_code = attach(
         by_code, links, [(c, c) for c in ("sent", "code_type")], "inner",
         _counts(by_code, sent="sent", code_type="code_type"), broadcast_bytes,
@@ -177,19 +176,38 @@ def resolve_pairs(
     columns = ("id", "sci_clean", "comm_clean", *CODE_COLUMNS)
     found = by_name.select(*columns).unionByName(by_code.select(*columns))
     found = review_spelling(found.where(F.col("code").isNotNull()))
-    exact = prefer_exact_spelling(found).select("id", *CODE_COLUMNS)
-    return stage(combine_services(exact), "candidates")
+    if chosen.size > broadcast_bytes:
+        # It is read three times below, which would repeat large joins.
+        found = stage(found, "found").frame
+    # A pair's candidates of one type come from one search, so they are all definitive
+    # or all open, and share their service: only the open ones need a preference, and
+    # equal ones need no more than removing.
+    sure = F.col("code_definitive")
+    exact = prefer_exact_spelling(found.where(~sure))
+    result = found.where(sure).unionByName(exact).select("id", *CODE_COLUMNS)
+    return stage(result.distinct(), "candidates")
 
 
 def search_all(pairs: DataFrame, authorities: Authorities) -> DataFrame:
-    """The decided candidates of every distinct name, with the rank of their search."""
-    names = {
-        "scientific": distinct_keys(pairs, "sci_clean"),
-        "common": distinct_keys(pairs, "comm_clean"),
-    }
+    """The decided candidates of every distinct name, with the rank of their search.
+
+    The names are written once, as every search reads them.
+    """
+    columns = zip(KINDS, ("sci_clean", "comm_clean"))
+    long = pairs.select(
+        F.inline(
+            F.array(
+                *(F.struct(F.lit(k).alias("kind"), F.col(c).alias("name")) for k, c in columns)
+            )
+        )
+    )
+    names = stage(long.where(F.col("name").isNotNull()).distinct(), "names").frame
 
     def both(search: Callable[[DataFrame, Authorities, str], DataFrame]) -> DataFrame:
-        sci, comm = (search(names[kind], authorities, kind) for kind in KINDS)
+        sci, comm = (
+            search(names.where(F.col("kind") == k).select("name"), authorities, k)
+            for k in KINDS
+        )
         return sci.unionByName(comm)
 
     def ranked(decided: DataFrame, ranks: dict[str, int]) -> DataFrame:
