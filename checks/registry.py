@@ -440,6 +440,17 @@ def ambiguous_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved(spark, sf_dir, order_lines(spark, sf_dir)).ambiguous
 
 
+@register(
+    """SELECT DISTINCT 'APHIAID' AS code_type, code FROM da1
+UNION SELECT 'APHIAID', code FROM new_aphia WHERE id NOT IN (SELECT id FROM dt2)
+UNION SELECT 'TSN', code FROM dt2 WHERE id NOT IN (SELECT id FROM da1)
+UNION SELECT 'TSN', code FROM new_tsn WHERE id NOT IN (SELECT id FROM da3)"""
+)
+def sent_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codes to leave out of the crosswalk of a later run."""
+    return nl.sent_codes(resolved(spark, sf_dir, fx.names(spark, sf_dir)).resolved)
+
+
 @register("SELECT w.* EXCLUDE (sci_name, comm_name), w.sci_name, w.comm_name, "
           f"'{VERSION_STAMP}' AS id_src FROM wide w")
 def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Resolve species names to authority codes on Spark."""
 
 from .functions.cleaning import clean_names, invert_comma, strip_redundant
-from .operators.assemble import Resolved, assemble
+from .operators.assemble import Resolved, assemble, sent_codes
 from .operators.candidates import (
     combine_services,
     flag_ambiguous,
@@ -29,7 +29,7 @@ __all__ = [
     "Authorities", "Resolved", "__version__", "assemble", "clean_names",
     "combine_services", "decide_best", "decide_itis", "decide_worms",
     "decide_worms_common", "flag_ambiguous", "invert_comma", "keep_if_any",
-    "prefer_exact_spelling", "resolve_names", "review_spelling", "select_candidates",
+    "prefer_exact_spelling", "resolve_names", "review_spelling", "select_candidates", "sent_codes",
     "split_known_unknown", "strip_redundant", "unchecked_codes", "with_row_id",
     "xwalk_aphia", "xwalk_tsn",
 ]

@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rules import KINDS
 from ..version import __version__
 from .candidates import flag_ambiguous
 from .groups import count_if
@@ -80,3 +81,29 @@ def assemble(names: DataFrame, cands: DataFrame, debug: bool = False) -> Resolve
         wide.select(*inputs, *WIDE_COLUMNS, *FLAG_COLUMNS, stamp),
         report.select(*inputs, *REPORT_COLUMNS, stamp),
     )
+
+
+def sent_codes(resolved: DataFrame) -> DataFrame:
+    """The ``(code_type, code)`` pairs that a run sent through the crosswalk.
+
+    Kept by the caller, they are what a later run can leave out as ``checked``. A code
+    is sent if a name gave it and the other type was not definitive by then.
+    """
+    sci, comm = KINDS
+    aphia_sure = F.coalesce(F.col("aphiaid_definitive"), F.lit(False))
+    tsn_sure = F.coalesce(F.col("tsn_definitive"), F.lit(False))
+    tsn_was_known = tsn_sure & (F.col("tsn_src") == sci)
+    aphia_was_known = aphia_sure & (F.col("aphiaid_src") != TSN)
+    aphia = aphia_sure & (
+        (F.col("aphiaid_src") == sci) | ((F.col("aphiaid_src") == comm) & ~tsn_was_known)
+    )
+    tsn = tsn_sure & F.col("tsn_src").isin(sci, comm) & ~aphia_was_known
+    both = resolved.select(
+        F.inline(
+            F.array(
+                F.struct(F.lit(APHIAID).alias("code_type"), F.when(aphia, F.col("aphiaid")).alias("code")),
+                F.struct(F.lit(TSN).alias("code_type"), F.when(tsn, F.col("tsn")).alias("code")),
+            )
+        )
+    )
+    return both.where(F.col("code").isNotNull()).distinct()

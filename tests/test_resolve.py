@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from nomenlink import Authorities, resolve_names
+from nomenlink import Authorities, resolve_names, sent_codes
 from nomenlink.sources.staging import shared_dir, stage
 
 from test_policies import SCHEMAS, snapshots
@@ -216,6 +216,18 @@ def test_checked_codes_are_not_sent_again(spark):
     assert {k: got[k] for k, _, _ in rows} == {k: naive.row(s, c) for k, s, c in rows}
 
 
+def test_a_second_run_leaves_out_what_the_first_one_sent(spark):
+    world, rows = random_world(10)
+    df, known = spark.createDataFrame(rows, NAMES), snapshots(spark, **world)
+    first = resolve_names(df, known, "sci", "comm")
+    sent = sent_codes(first.resolved)
+    kinds = {r["code_type"] for r in sent.collect()}
+    assert kinds == {"APHIAID", "TSN"}
+    second = resolve_names(df, known, "sci", "comm", checked=sent)
+    sources = second.resolved.select("aphiaid_src", "tsn_src").distinct().collect()
+    assert all(r["aphiaid_src"] != "TSN" and r["tsn_src"] != "APHIAID" for r in sources)
+
+
 @pytest.mark.parametrize("column", ["sci", "comm"])
 def test_one_column_alone(spark, column):
     world, rows = random_world(6)
