@@ -115,7 +115,8 @@ FROM cleaned WHERE sci IS NOT NULL"""
 )
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cleaned(spark, sf_dir).where(F.col("sci_clean").isNotNull())
-    return rows.select("id", "sci_clean", token_count(F.col("sci_clean")).alias("words"))
+    words = token_count(F.col("sci_clean")).cast("bigint")
+    return rows.select("id", "sci_clean", words.alias("words"))
 
 
 # --- searches ----------------------------------------------------------------------
