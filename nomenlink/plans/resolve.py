@@ -153,6 +153,9 @@ def resolve_pairs(
         known = attach(
             known, mine, [(key, "name")], "left", _counts(pairs, name=key), broadcast_bytes
         )
+        if facts.size > broadcast_bytes:
+            # A join split by hot keys reads its rows twice; cut before the next one.
+            known = stage(known, f"{prefix}_known").frame
     both = [("comm_clean", "comm_clean"), ("sci_clean", "sci_clean")]
     known = attach(
         known, spellings, both, "left",
