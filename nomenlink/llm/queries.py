@@ -6,18 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_crf
+from . import fertility, line_crf
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of tokeniser fertility bands."""
+    return fertility.judge(table(spark, sf_dir, "documents"))
+
+
 def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document quality from line marginals of a conditional random field."""
     return line_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_line_crf,)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_fertility, op7_line_crf)}
 
 # SQL can express none of the others within these tables' sizes; tests hold them
 # against brute force.
