@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, line_crf
+from . import fertility, line_crf, packing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +22,12 @@ def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_fertility, op7_line_crf)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces in as few sequences as the search finds."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_fertility, op7_line_crf, op10_packing)}
 
 # SQL can express none of the others within these tables' sizes; tests hold them
 # against brute force.
