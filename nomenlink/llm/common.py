@@ -34,6 +34,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_key(docs: DataFrame, *columns: str) -> DataFrame:
+    """``absent, id`` in place of doc_id, and the given columns.
+
+    A null doc_id becomes a flag and a zero, so that Python workers get exact integers
+    and joins need no null-safe keys.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select(
+        F.col("doc_id").isNull().alias("absent"),
+        F.coalesce("doc_id", F.lit(0).cast(kind)).alias("id"),
+        *columns,
+    )
+
+
+def doc_id() -> Column:
+    """The doc_id that ``with_key`` took apart."""
+    return F.when(~F.col("absent"), F.col("id")).alias("doc_id")
+
+
 def id_remainder(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; null for a null id."""
     return F.crc32(doc_id.cast("string")) % 4

@@ -1,14 +1,13 @@
 """Quality rules from tokeniser fertility, with bands per language or script.
 
-Two public vocabularies measure the words of a text: characters per token and token
-entropy in the byte-level one, and the share of byte-fallback tokens in the piece one.
+Two public vocabularies measure a text: word characters per token and token entropy in
+the byte-level one, and the share of byte-fallback pieces of its words in the piece one.
 The texts of one language (of one script where the language is null) and of like length
 (one octave of tokens, as entropy grows and spread shrinks with length) give the quartiles
 of each measure; a text outside the band around them is rejected. A few plain counts
 reject short and repetitive texts before.
 
-Words are runs without ASCII white space. Every word is encoded with the blank before it
-that sets it off, so a word's tokens do not depend on its place in the text.
+Words are runs without ASCII white space.
 
 Defined results: a null or wordless text has zero counts and null measures and fails the
 base rules. A band comes from all texts of its group that pass the base rules; it has a
@@ -20,6 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -42,11 +42,10 @@ FEW = 20
 MEASURES = tuple(LEAST)
 # Bands are broadcast up to this number; a language of one's own for every text is not.
 MAX_BANDS = 10_000
-# Words that a worker remembers; it forgets all of them when there are more.
-REMEMBERED = 200_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = "#*$%&|<>"
+_BLANKS = " \t\n\x0b\x0c\r"
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SCHEMA = ", ".join(
@@ -89,72 +88,57 @@ def main_script(letters: dict[str, int]) -> str:
     return min(found, key=lambda s: (-found[s], s)) if found else "NONE"
 
 
-class Measurer:
-    """Measures texts; remembers the tokens of words in bounded memory."""
-
-    def __init__(self, folder: str | None = None):
-        self.folder = folder
-        self.known: dict[str, tuple[int, int, np.ndarray]] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        pieces, ranks = voc.pieces(self.folder), voc.byte_ranks(self.folder)
-        for word, ids in zip(words, pieces.encode(words, num_threads=1)):
-            # Byte pieces stand right after the three control pieces.
-            fallback = sum(3 <= i < 259 for i in ids)
-            own = np.asarray(ranks.encode_ordinary(" " + word), np.int64)
-            self.known[word] = (len(ids), fallback, own)
-
-    def measure(self, texts: list[str | None]) -> pd.DataFrame:
-        counted = []
-        for text in texts:
-            local: dict[str, int] = {}
-            ids = [local.setdefault(w, len(local)) for w in _WORD.findall(text or "")]
-            counted.append((text or "", list(local), np.array(ids, np.int64)))
-        new = list(dict.fromkeys(w for _, ws, _ in counted for w in ws if w not in self.known))
-        needed = {w: self.known[w] for _, ws, _ in counted for w in ws if w in self.known}
-        for at in range(0, len(new), 10_000):
-            self._learn(part := new[at : at + 10_000])
-            needed.update((w, self.known[w]) for w in part)
-        return pd.DataFrame([self._one(*c, needed) for c in counted])
-
-    @staticmethod
-    def _one(text: str, words: list[str], ids: np.ndarray, tokens: dict) -> dict:
-        row: dict = dict.fromkeys(COUNTS, 0) | dict.fromkeys(MEASURES)
-        row |= {"script": "NONE", "octave": 0}
-        row["n_symbols"] = sum(map(text.count, _SYMBOLS))
-        if not words:
-            return row
-        times = np.bincount(ids, minlength=len(words))
-        found = [tokens[w] for w in words]
-        sizes = np.array([len(w) for w in words], np.int64)
-        n_pieces = int(times @ np.array([t[0] for t in found], np.int64))
-        fallback = int(times @ np.array([t[1] for t in found], np.int64))
-        own = [t[2] for t in found]
-        lengths = np.array([len(t) for t in own], np.int64)
-        _, at = np.unique(np.concatenate(own), return_inverse=True)
-        seen = np.bincount(at, np.repeat(times, lengths))
-        total = seen.sum()
-        share = seen / total
-        row |= {
-            "n_words": len(ids),
-            "word_chars": int(times @ sizes),
-            "n_dup_lines": duplicate_lines(text),
-            "n_repeat_words": repeated_windows(ids, len(words)),
-            "chars_per_token": row_round(times @ sizes / total),
-            "fallback_share": row_round(fallback / max(n_pieces, 1)),
-            "entropy": row_round(-(share * np.log2(share)).sum()),
-            "octave": int(total).bit_length(),
-        }
-        if text.isascii():
-            row["script"] = "LATIN" if any(map(str.isalpha, text)) else "NONE"
-        else:
-            letters: dict[str, int] = {}
-            for c in set(text):
-                letters[c] = text.count(c)
-            row["script"] = main_script(letters)
+@cache
+def known_characters(folder: str | None = None) -> frozenset[str]:
+    """Characters that are pieces; no text of these alone needs a byte piece."""
+    pieces = voc.pieces(folder)
+    found = (pieces.id_to_piece(i) for i in range(pieces.get_piece_size()))
+    return frozenset(p for p in found if len(p) == 1)
+
+
+def fallback_share(text: str, words: list[str], folder: str | None = None) -> float:
+    """Share of byte pieces among the pieces of the words."""
+    if set(text).difference(_BLANKS) <= known_characters(folder):
+        return 0.0
+    pieces = voc.pieces(folder)
+    ids = np.concatenate([np.asarray(x) for x in pieces.encode(words, num_threads=1)])
+    # Byte pieces stand right after the three control pieces.
+    return float(((ids >= 3) & (ids < 259)).mean())
+
+
+def measure_text(text: str | None, folder: str | None = None) -> dict:
+    """Counts and measures of one text."""
+    row: dict = dict.fromkeys(COUNTS, 0) | dict.fromkeys(MEASURES)
+    row |= {"script": "NONE", "octave": 0}
+    if not text:
+        return row
+    row["n_symbols"] = sum(map(text.count, _SYMBOLS))
+    words = _WORD.findall(text)
+    if not words:
         return row
+    place = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    ids = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+    tokens = voc.encode_ids([text], folder)[0]
+    _, seen = np.unique(tokens, return_counts=True)
+    share = seen / len(tokens)
+    word_chars = len(text) - sum(map(text.count, _BLANKS))
+    return row | {
+        "n_words": len(words),
+        "word_chars": word_chars,
+        "n_dup_lines": duplicate_lines(text),
+        "n_repeat_words": repeated_windows(ids, len(place)),
+        "chars_per_token": row_round(word_chars / len(tokens)),
+        "fallback_share": row_round(fallback_share(text, words, folder)),
+        "entropy": row_round(-(share * np.log2(share)).sum()),
+        "octave": len(tokens).bit_length(),
+        "script": script_of(text),
+    }
+
+
+def script_of(text: str) -> str:
+    if text.isascii():
+        return "LATIN" if any(map(str.isalpha, text)) else "NONE"
+    return main_script({c: text.count(c) for c in set(text)})
 
 
 def row_round(x: float) -> float:
@@ -168,9 +152,8 @@ def measure(docs: DataFrame, folder: str | None = None, text: str = "text") -> D
 
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        measurer = Measurer(folder)
         for batch in batches:
-            out = measurer.measure(batch.tolist())
+            out = pd.DataFrame([measure_text(t, folder) for t in batch])
             for c in COUNTS:
                 out[c] = out[c].astype("int64")
             for c in MEASURES:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import doc_id, small_batches, with_key, written
 from .vocabularies import encode_ids
 
 CAPACITY = 2048
@@ -270,7 +270,7 @@ def token_pieces(
     """One row per piece: ``doc_id, piece, start, length, ids_crc32``, and its
     number among the pieces of its length in its task (``task``, ``nth``)."""
     small_batches(docs.sparkSession)
-    id_type = dict(docs.dtypes)["doc_id"]
+    keyed = with_key(docs, "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
@@ -278,20 +278,27 @@ def token_pieces(
         for batch in batches:
             rows = []
             texts = ["" if t is None else t for t in batch["text"]]
-            for doc_id, ids in zip(batch["doc_id"], encode_ids(texts, folder)):
+            found = zip(batch["absent"], batch["id"], encode_ids(texts, folder))
+            for absent, own_id, ids in found:
                 ids = np.append(ids, np.uint32(separator)).astype("<u4")
                 for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                     own = ids[start : start + length]
                     nth = seen[length]
                     seen[length] += 1
-                    rows.append((doc_id, piece, start, length, zlib.crc32(own.tobytes()), task, nth))
+                    crc = zlib.crc32(own.tobytes())
+                    rows.append((absent, own_id, piece, start, length, crc, task, nth))
             yield pd.DataFrame(rows, columns=_PIECE)
 
-    schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, task int, nth long"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    id_type = dict(keyed.dtypes)["id"]
+    found = keyed.mapInPandas(
+        run,
+        f"absent boolean, id {id_type}, piece int, start long, length long, ids_crc32 long, "
+        "task int, nth long",
+    )
+    return found.select(doc_id(), *_PIECE[2:])
 
 
-_PIECE = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"]
+_PIECE = ["absent", "id", "piece", "start", "length", "ids_crc32", "task", "nth"]
 
 
 def pack(

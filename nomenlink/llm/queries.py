@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, line_crf, packing
+from . import fertility, line_crf, packing, suffix_dedup, weighted_minhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,17 @@ def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes in strings of 200 bytes that start anywhere else, removed."""
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"), keep_first=False)
+
+
+def op6_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document, and whether it is the one kept."""
+    found = weighted_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "kept")
+
+
 def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document quality from line marginals of a conditional random field."""
     return line_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -27,7 +38,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_fertility, op7_line_crf, op10_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_fertility, op5_suffix_dedup, op6_weighted_minhash, op7_line_crf, op10_packing)}
 
 # SQL can express none of the others within these tables' sizes; tests hold them
 # against brute force.

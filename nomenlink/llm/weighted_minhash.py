@@ -35,8 +35,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import mix64, small_batches, written
+from .common import doc_id, mix64, small_batches, with_key, written
 from .components import components
 
 SHINGLE = 5
@@ -226,9 +227,16 @@ def _node(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
+@F.pandas_udf(T.BinaryType())
+def _node_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        hashes = [word_hashes(t) for t in batch]
+        yield pd.Series([_node(h) if len(h) else None for h in hashes])
+
+
 def _signatures(docs: DataFrame, idf) -> DataFrame:
     """``doc_id, node, bands, samples``; null but for the id where a text has no word."""
-    id_type = dict(docs.dtypes)["doc_id"]
+    keyed = with_key(docs, "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sampler = Sampler()
@@ -249,12 +257,15 @@ def _signatures(docs: DataFrame, idf) -> DataFrame:
                     nodes[at] = _node(hashes[at])
                     bands[at] = keys[row].tolist()
                     samples[at] = short[row].tobytes()
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "node": nodes, "bands": bands, "samples": samples}
-            )
+            key = {"absent": batch["absent"], "id": batch["id"]}
+            yield pd.DataFrame({**key, "node": nodes, "bands": bands, "samples": samples})
 
-    schema = f"doc_id {id_type}, node binary, bands array<bigint>, samples binary"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    found = keyed.mapInPandas(
+        run,
+        f"absent boolean, id {dict(keyed.dtypes)['id']}, node binary, bands array<bigint>, "
+        "samples binary",
+    )
+    return found.select(doc_id(), "node", "bands", "samples")
 
 
 def _agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -311,20 +322,12 @@ def _alike_across(group: pd.DataFrame) -> pd.DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame, idf) -> DataFrame:
     """The pairs of at least the threshold, from the whole texts of both nodes."""
-    spark = docs.sparkSession
-
-    @F.pandas_udf("binary")
-    def node_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            hashes = [word_hashes(t) for t in batch]
-            yield pd.Series([_node(h) if len(h) else None for h in hashes])
-
     needed = written(
         pairs.select(F.col("a").alias("_n")).unionByName(pairs.select(F.col("b").alias("_n"))).distinct(),
         "needed",
     )
     small = needed.count() * 64 <= BROADCAST_BYTES
-    found = docs.select(node_of("text").alias("node"), "text")
+    found = docs.select(_node_of("text").alias("node"), "text")
     found = found.join(F.broadcast(needed) if small else needed, found["node"] == needed["_n"], "left_semi")
     texts = written(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -427,3 +430,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "row", "doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept")
     )
     return linked.unionByName(alone)
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The documents without all but one row of each class; all columns stay."""
+    # The columns travel in a struct, so that no name can clash.
+    keyed = with_key(docs, F.col("text").alias("text"), F.struct(*docs.columns).alias("rest"))
+    keyed = keyed.withColumn("node", _node_of("text"))
+    kept = near_duplicates(docs).where("kept and node is not null")
+    kept = written(kept.select(F.col("doc_id"), F.col("node")), "kept")
+    kept = with_key(kept, "node")
+    alone = keyed.where("node is null").select("rest.*")
+    ours = keyed.where("node is not null").join(kept, ["absent", "id", "node"])
+    # Rows of equal id and words are the only ones left to choose from.
+    again = written(
+        ours.groupBy("absent", "id", "node").count().where("count > 1").drop("count"), "repeated"
+    )
+    if again.limit(1).count():
+        once = ours.join(again, ["absent", "id", "node"], "left_anti")
+        more = ours.join(again, ["absent", "id", "node"], "left_semi")
+        order = Window.partitionBy("absent", "id", "node").orderBy("text")
+        more = more.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+        ours = once.unionByName(more)
+    return ours.select("rest.*").unionByName(alone)
