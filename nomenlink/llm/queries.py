@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, line_crf, packing, rank_profiles, suffix_dedup, url_markov, weighted_minhash
+from . import (
+    cover_tree,
+    fertility,
+    line_crf,
+    packing,
+    rank_profiles,
+    suffix_dedup,
+    url_markov,
+    weighted_minhash,
+)
 from .common import table
 
 RULES = (
@@ -20,6 +29,11 @@ RULES = (
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings of cosine 0.95 and more."""
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule or character model verdict of every page url."""
     judged = url_markov.judge(table(spark, sf_dir, "pages"), RULES)
@@ -60,6 +74,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_cover_tree,
         op2_url_markov,
         op3_fertility,
         op5_suffix_dedup,
