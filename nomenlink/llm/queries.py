@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     cover_tree,
     fertility,
+    lattice_sampling,
     line_crf,
     packing,
     rank_profiles,
     suffix_dedup,
+    token_attribution,
     url_markov,
     weighted_minhash,
 )
@@ -45,6 +47,11 @@ def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, encoded whole."""
+    return token_attribution.count_by_section(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes in strings of 200 bytes that start anywhere else, removed."""
     return suffix_dedup.digest(table(spark, sf_dir, "documents"), keep_first=False)
@@ -66,6 +73,11 @@ def op8_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_profiles.classify(table(spark, sf_dir, "documents"))
 
 
+def op9_lattice_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of every document, and whether it decodes to the text."""
+    return lattice_sampling.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces in as few sequences as the search finds."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -77,10 +89,12 @@ QUERIES: dict[str, Query] = {
         op1_cover_tree,
         op2_url_markov,
         op3_fertility,
+        op4_token_attribution,
         op5_suffix_dedup,
         op6_weighted_minhash,
         op7_line_crf,
         op8_rank_profiles,
+        op9_lattice_sampling,
         op10_packing,
     )
 }
