@@ -1,4 +1,7 @@
-"""A cleaning pipeline over documents, one stage per operator."""
+"""A cleaning pipeline over documents, one stage per operator.
+
+Every stage reads what the one before it wrote, whole.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nomenlink.llm import line_crf
+from nomenlink.llm import fertility, line_crf, packing, suffix_dedup, weighted_minhash
 from nomenlink.llm.common import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -15,17 +18,44 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose lines the conditional random field finds good."""
-    model = line_crf.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = line_crf.score_quality(docs, model, output="_quality_score")
-    return scored.where(F.col("_quality_score") >= line_crf.THRESHOLD).select(*docs.columns)
+    model = line_crf.train(docs, table(spark, sf_dir, "labels"))
+    return line_crf.filter_documents(docs, model)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents inside the base rules and the bands of tokeniser fertility."""
+    return fertility.filter_documents(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return weighted_minhash.deduplicate(docs)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of passages; the first copy stays.
+
+    A document stays even if nothing of its text is left. ``n_chars`` follows the text.
+    """
+    cleaned = suffix_dedup.remove_repeats(docs)
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in few sequences."""
+    return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", quality_classifier),
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_dedup),
+    ("suffix-array dedup", passage_dedup),
+    ("best-fit packing", best_fit_packing),
 ]
 
-# The classifier and the samplings have no SQL form; tests hold the stages against
-# brute force.
+# The classifier, the samplings and the packing search have no SQL form; tests hold every
+# stage against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -330,6 +330,13 @@ def score_quality(
     return docs.withColumn(output, score(F.col(text)))
 
 
+def filter_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score at least the threshold, with all their columns."""
+    # The columns travel in a struct, so that no name can clash.
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
+    return score_quality(rows, model).where(F.col("score") >= threshold).select("row.*")
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
     scored = score_quality(docs.select("doc_id", "text"), train(docs, labels))
