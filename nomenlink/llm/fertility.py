@@ -10,8 +10,9 @@ reject short and repetitive texts before.
 Words are runs without ASCII white space.
 
 Defined results: a null or wordless text has zero counts and null measures and fails the
-base rules. A band comes from all texts of its group that pass the base rules; it has a
-least width, and a group of few texts has a wider one, as its quartiles are uncertain.
+base rules. A band comes from all texts of its group that pass the base rules. It has a
+least width, wider for few texts, as their quartiles are uncertain; an octave of very few
+texts has the band of its language or script.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ MAX_REPEAT = 50
 REACH = 6.0
 # and at least so far from the median,
 LEAST = {"chars_per_token": 0.15, "fallback_share": 0.05, "entropy": 0.5}
-# of which a group of this many texts adds one more.
+# of which a group of this many texts adds one more; fewer texts have no band of their own.
 FEW = 20
 MEASURES = tuple(LEAST)
 # Bands are broadcast up to this number; a language of one's own for every text is not.
@@ -145,42 +146,40 @@ def row_round(x: float) -> float:
     return round(float(x), 6)
 
 
-def measure(docs: DataFrame, folder: str | None = None, text: str = "text") -> DataFrame:
-    """All columns of the documents and a struct ``_measured`` of counts and measures."""
-    small_batches(docs.sparkSession)
+def measured(text: Column, folder: str | None = None) -> Column:
+    """A struct of the counts and measures of a text."""
     schema = T.StructType.fromDDL(_SCHEMA)
 
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = pd.DataFrame([measure_text(t, folder) for t in batch])
+            out = pd.DataFrame([measure_text(t, folder) for t in batch], columns=schema.names)
             for c in COUNTS:
                 out[c] = out[c].astype("int64")
             for c in MEASURES:
                 out[c] = out[c].astype("float64")
             out["octave"] = out["octave"].astype("int32")
-            yield out[schema.names]
+            yield out
 
-    return docs.withColumn("_measured", run(F.col(text)))
+    return run(text)
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT * n_words)
 
 
-def bands(measured: DataFrame) -> DataFrame:
-    """Per group the lowest and highest accepted value of each measure.
+def bands(measured: DataFrame, *keys: str) -> DataFrame:
+    """Per group the lowest and highest accepted value of each measure, and its size ``n``.
 
-    ``measured`` has ``band`` (language or script), ``octave``, ``base_failed`` and the
-    measures. The quartiles come from mergeable sketches, so a language of any size is
-    never gathered.
+    ``measured`` has the keys, ``base_failed`` and the measures. The quartiles come from
+    mergeable sketches, so a language of any size is never gathered.
     """
-    out = measured.where(~F.col("base_failed")).groupBy("band", "octave")
+    out = measured.where(~F.col("base_failed")).groupBy(*keys)
     quartiles = out.agg(
         F.count(F.lit(1)).alias("n"),
         *(F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(c) for c in MEASURES),
     )
-    edges = ["band", "octave"]
+    edges = []
     for c in MEASURES:
         low, mid, high = (F.col(c)[i] for i in range(3))
         reach = REACH * (high - low)
@@ -189,31 +188,56 @@ def bands(measured: DataFrame) -> DataFrame:
             F.least(low - reach, mid - least).alias(f"{c}_low"),
             F.greatest(high + reach, mid + least).alias(f"{c}_high"),
         ]
-    return quartiles.select(*edges)
+    return quartiles.select(*keys, "n", *edges)
 
 
-def judge(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """``doc_id``, counts, measures, ``base_failed`` and ``kept`` of every document.
+def _limits(rows: DataFrame) -> DataFrame:
+    """Bands by language or script and octave; octaves of few texts have the band of all."""
+    of_all = bands(rows, "band").drop("n")
+    own = bands(rows, "band", "octave").where(F.col("n") >= FEW).drop("n")
+    edges = [c for c in own.columns if c not in ("band", "octave")]
+    octaves = rows.where(~F.col("base_failed")).select("band", "octave").distinct()
+    joined = octaves.join(own, ["band", "octave"], "left")
+    joined = joined.join(of_all.withColumnsRenamed({c: f"all_{c}" for c in edges}), "band")
+    return joined.select(
+        F.col("band").alias("_band"),
+        F.col("octave").alias("_octave"),
+        *(F.coalesce(c, f"all_{c}").alias(c) for c in edges),
+    )
+
 
-    ``docs`` has doc_id, text and lang. The measures are written once, as the bands and
-    the verdicts both read them.
+def _judged(docs: DataFrame, folder: str | None, *columns: Column | str) -> DataFrame:
+    """The given columns with band, measures and verdict of every document.
+
+    The measures are written once, as the bands and the verdicts both read them.
     """
-    measured = measure(docs.select("doc_id", "text", "lang"), folder)
-    rows = written(
-        measured.select(
-            "doc_id", F.coalesce("lang", "_measured.script").alias("band"), "_measured.*"
-        ),
-        "measured",
-    )
+    small_batches(docs.sparkSession)
+    found = docs.select(*columns, "lang", measured(F.col("text"), folder).alias("found"))
+    rows = found.select("*", F.coalesce("lang", "found.script").alias("band"), "found.*")
+    rows = written(rows.drop("found", "lang"), "measured")
     rows = rows.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    limits = bands(rows).withColumnsRenamed({"band": "_band", "octave": "_octave"})
+    limits = written(_limits(rows), "bands")
     inside = F.lit(True)
     for c in MEASURES:
         inside &= F.col(c).between(F.col(f"{c}_low"), F.col(f"{c}_high"))
-    same = rows["band"].eqNullSafe(limits["_band"]) & (rows["octave"] == limits["_octave"])
+    same = (F.col("band") == F.col("_band")) & (F.col("octave") == F.col("_octave"))
     # A few dozen rows per language or script, whatever the number of documents.
     joined = rows.join(F.broadcast(limits) if limits.count() <= MAX_BANDS else limits, same, "left")
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return joined.select(
-        "doc_id", *COUNTS, *MEASURES, "band", "base_failed", kept.alias("kept")
-    )
+    return joined.withColumn("kept", kept)
+
+
+def judge(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """``doc_id``, counts, measures, ``band``, ``base_failed`` and ``kept`` of every document.
+
+    ``docs`` has doc_id, text and lang.
+    """
+    found = _judged(docs, folder, "doc_id")
+    return found.select("doc_id", *COUNTS, *MEASURES, "band", "base_failed", "kept")
+
+
+def filter_documents(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """The documents that the rules keep, with all their columns."""
+    # The columns travel in a struct, so that no name can clash.
+    row = F.struct(*docs.columns).alias("row")
+    return _judged(docs, folder, row).where("kept").select("row.*")
