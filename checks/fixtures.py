@@ -1,4 +1,7 @@
-"""Names and authority snapshots derived from the ``part`` table.
+"""Names and authority snapshots derived from the ``part`` and ``customer`` tables.
+
+Parts give few names that many rows share; customers give a name of its own to every row,
+with codes that no other row sends.
 
 The same SQL text defines each view for Spark and for the check of its results.
 """
@@ -19,7 +22,14 @@ SELECT p_partkey AS row_key,
   CASE p_partkey % 7 WHEN 0 THEN split_part(p_name, ' ', 2) || ', ' || split_part(p_name, ' ', 1)
     WHEN 1 THEN p_name || ' EGGS' WHEN 2 THEN NULL WHEN 3 THEN p_name || ' (NS)'
     WHEN 4 THEN p_name || ' ' || lower(p_type) ELSE p_name END AS comm_name
-FROM part""",
+FROM part
+UNION ALL
+SELECT 10000000 + c_custkey, CASE c_custkey % 3 WHEN 0 THEN NULL ELSE c_name END,
+  CASE c_custkey % 2 WHEN 0 THEN replace(c_name, 'Customer', 'Client') END
+FROM customer""",
+    "fx_cust": """
+SELECT c_custkey AS k, upper(c_name) AS nm, replace(upper(c_name), 'CUSTOMER', 'CLIENT') AS cm
+FROM customer""",
     "fx_base": """
 SELECT upper(p_name) AS nm, upper(split_part(p_name, ' ', 1)) AS adj, p_type AS kind,
   min(p_partkey) AS k
@@ -33,7 +43,11 @@ SELECT k AS aphia_id, nm AS scientificname,
 FROM fx_base
 WHERE (adj IN ('RED', 'BLUE', 'SMALL', 'LARGE', 'NEW') AND kind = 'ECONOMY')
    OR (adj = 'HOT' AND kind IN ('ECONOMY', 'SMALL', 'PROMO'))
-   OR (adj = 'OLD' AND kind IN ('ECONOMY', 'SMALL'))""",
+   OR (adj = 'OLD' AND kind IN ('ECONOMY', 'SMALL'))
+UNION ALL
+SELECT 20000000 + k, nm, CASE k % 5 WHEN 0 THEN 'unaccepted' ELSE 'accepted' END,
+  CASE WHEN k % 7 = 0 THEN NULL ELSE 20000000 + k END, nm
+FROM fx_cust WHERE k % 2 = 0""",
     "fx_worms_vernacular": """
 SELECT aphia_id, scientificname AS vernacular FROM fx_worms_taxa
 UNION ALL
@@ -41,7 +55,9 @@ SELECT aphia_id, 'COLD' || substr(scientificname, 4) AS vernacular FROM fx_worms
 WHERE scientificname LIKE 'HOT %'
 UNION ALL
 SELECT aphia_id, 'RED' || substr(scientificname, 5) AS vernacular FROM fx_worms_taxa
-WHERE scientificname LIKE 'BLUE %'""",
+WHERE scientificname LIKE 'BLUE %'
+UNION ALL
+SELECT 20000000 + 2 * k AS aphia_id, cm AS vernacular FROM fx_cust WHERE k % 4 = 0""",
     "fx_best_match": """
 SELECT nm AS query, k AS aphia_id, adj = 'HOT' AS multiple_matches, adj = 'BLUE' AS pattern_match
 FROM fx_base WHERE adj IN ('RED', 'BLUE', 'HOT') AND kind = 'ECONOMY'""",
@@ -52,7 +68,10 @@ SELECT 1000000 + k AS tsn, CASE WHEN kind = 'PROMO' THEN nm || ' MINOR' ELSE nm
 FROM fx_base
 WHERE (adj IN ('COLD', 'HOT') AND kind IN ('ECONOMY', 'SMALL', 'PROMO'))
    OR (adj = 'NEW' AND kind = 'SMALL')
-   OR (adj = 'SMALL' AND kind IN ('MEDIUM', 'LARGE'))""",
+   OR (adj = 'SMALL' AND kind IN ('MEDIUM', 'LARGE'))
+UNION ALL
+SELECT 30000000 + k, nm, cm, CASE k % 4 WHEN 0 THEN 'invalid' ELSE 'valid' END
+FROM fx_cust WHERE k % 3 <> 2""",
     "fx_itis_synonyms": """
 SELECT 1000000 + s.k AS tsn, 1000000 + v.k AS accepted_tsn, v.nm AS accepted_name
 FROM fx_base s JOIN fx_base v ON s.nm = v.nm AND v.kind = 'ECONOMY'
@@ -60,7 +79,14 @@ WHERE s.kind = 'SMALL'""",
     "fx_xwalk": """
 SELECT aphia_id, 1000000 + aphia_id AS tsn FROM fx_worms_taxa WHERE scientificname NOT LIKE 'BLUE %'
 UNION ALL
-SELECT aphia_id, 2000000 + aphia_id AS tsn FROM fx_worms_taxa WHERE scientificname LIKE 'RED %'""",
+SELECT aphia_id, 2000000 + aphia_id AS tsn FROM fx_worms_taxa WHERE scientificname LIKE 'RED %'
+UNION ALL
+SELECT t.aphia_id, 1000000 + b.k AS tsn FROM fx_worms_taxa t JOIN fx_base b ON b.nm = t.scientificname
+WHERE b.adj = 'HOT' AND b.kind = 'ECONOMY' AND t.aphia_id <> b.k AND length(b.nm) % 2 = 0
+UNION ALL
+SELECT 20000000 + k, 30000000 + k FROM fx_cust WHERE k % 6 = 0
+UNION ALL
+SELECT 20000000 + 2 * k, 30000000 + k FROM fx_cust WHERE k % 5 < 2""",
 }
 
 
@@ -71,8 +97,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dirty names: ``row_key, sci_name, comm_name``."""
     return spark.sql(
-        FIXTURE_SQL["fx_names"].replace("FROM part", "FROM {part}"),
+        FIXTURE_SQL["fx_names"]
+        .replace("FROM part", "FROM {part}")
+        .replace("FROM customer", "FROM {customer}"),
         part=table(spark, sf_dir, "part"),
+        customer=table(spark, sf_dir, "customer"),
     )
 
 
@@ -84,6 +113,10 @@ def authorities(
         FIXTURE_SQL["fx_base"].replace("FROM part", "FROM {part}"),
         part=table(spark, sf_dir, "part"),
     )
+    cust = spark.sql(
+        FIXTURE_SQL["fx_cust"].replace("FROM customer", "FROM {customer}"),
+        customer=table(spark, sf_dir, "customer"),
+    )
     if written:
         base = stage(base, "fixture_base").frame
 
@@ -93,15 +126,15 @@ def authorities(
             text = text.replace(f" fx_{source}", f" {{{source}}}")
         return spark.sql(text, **sources)
 
-    taxa = view("fx_worms_taxa", base=base)
-    units = view("fx_itis_units", base=base)
+    taxa = view("fx_worms_taxa", base=base, cust=cust)
+    units = view("fx_itis_units", base=base, cust=cust)
     return Authorities(
         worms_taxa=taxa,
-        worms_vernacular=view("fx_worms_vernacular", worms_taxa=taxa),
+        worms_vernacular=view("fx_worms_vernacular", worms_taxa=taxa, cust=cust),
         worms_best_match=view("fx_best_match", base=base) if best else None,
         itis_names=units.select("tsn", "combined_name"),
         itis_vernacular=units.select("tsn", "common_name"),
         itis_units=units.select("tsn", "usage_rating"),
         itis_synonyms=view("fx_itis_synonyms", base=base),
-        xwalk=view("fx_xwalk", worms_taxa=taxa),
+        xwalk=view("fx_xwalk", worms_taxa=taxa, base=base, cust=cust),
     )

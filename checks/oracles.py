@@ -166,7 +166,9 @@ LEFT JOIN fx_xwalk x ON x.aphia_id = a.aphia_id
 WHERE a.aphia_id IS NOT NULL"""
 VIEWS["x_aphia"] = """
 SELECT DISTINCT i.tsn AS sent, coalesce(t.valid_aphia_id, t.aphia_id) AS code,
-  t.valid_aphia_id IS NOT NULL AS sure,
+  t.valid_aphia_id IS NOT NULL AND (
+    SELECT count(DISTINCT y.aphia_id) FROM fx_xwalk y JOIN fx_worms_taxa u ON u.aphia_id = y.aphia_id
+    WHERE y.tsn = i.tsn) = 1 AS sure,
   CASE WHEN t.valid_aphia_id IS NOT NULL THEN t.valid_name END AS sugg
 FROM (SELECT DISTINCT code AS tsn FROM by_itis) i
 LEFT JOIN (fx_xwalk x JOIN fx_worms_taxa t ON t.aphia_id = x.aphia_id) ON x.tsn = i.tsn"""

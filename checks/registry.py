@@ -176,7 +176,7 @@ def best_match_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT DISTINCT nm AS name FROM fx_base UNION SELECT DISTINCT adj FROM fx_base
       UNION SELECT DISTINCT left(nm, 6) FROM fx_base) q
 JOIN fx_worms_taxa t ON starts_with(t.scientificname, q.name)
-WHERE length(q.name) >= 4 GROUP BY q.name"""
+GROUP BY q.name"""
 )
 def best_match_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole names, first words and cut-off names against the taxa themselves."""
@@ -186,7 +186,7 @@ def best_match_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array("nm", F.split_part("nm", F.lit(" "), F.lit(1)), F.left("nm", F.lit(6)))
         ).alias("name")
     )
-    names = distinct_keys(asked.where(F.char_length("name") >= 4), "name")
+    names = distinct_keys(asked, "name")
     return derive_best_match(names, fx.authorities(spark, sf_dir, best=False), "scientific")
 
 
@@ -327,6 +327,45 @@ def split_known_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "SELECT DISTINCT " + _FOUND.format(svc="svc", sugg="sugg") + """, i.sci AS sci_clean,
+  i.comm AS comm_clean, true AS is_known
+FROM all_found a JOIN input i USING (id) WHERE sure AND id % 3 <> 0 UNION ALL SELECT a.id, """
+    + _FOUND.format(svc="string_agg(DISTINCT svc, ',' ORDER BY svc)", sugg="sugg").removeprefix("id, ")
+    + """, i.sci, i.comm, false
+FROM (SELECT * FROM input WHERE id % 3 <> 0) i RIGHT JOIN all_found a ON a.id = i.id
+WHERE NOT sure AND NOT EXISTS (
+  SELECT 1 FROM all_found b WHERE b.id = a.id AND b.type = a.type AND b.sure AND b.id % 3 <> 0)
+GROUP BY a.id, code, type, sure, src, sugg, i.sci, i.comm"""
+)
+def split_with_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split with a master list that lacks a third of the ids."""
+    found = all_found(spark, sf_dir)
+    master = cleaned(spark, sf_dir).where("id % 3 <> 0")
+    known, unknown = nl.split_known_unknown(found.select("id", *CODE_COLUMNS), master)
+    known = known.withColumn("is_known", F.lit(True))
+    return known.unionByName(unknown.withColumn("is_known", F.lit(False))).select(
+        "id", *CODE_COLUMNS, "sci_clean", "comm_clean", "is_known"
+    )
+
+
+@register(
+    """SELECT id, sci AS sci_clean, comm AS comm_clean, CASE id % 4
+  WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN sci || ' (COMMON)' ELSE 'OTHER ' || comm END AS sugg_spelling
+FROM input WHERE sci IS NOT NULL AND comm IS NOT NULL AND sci <> comm"""
+)
+def marked_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions that repeat a name behind its marker are dropped, others stay."""
+    rows = cleaned(spark, sf_dir).where("sci_clean <> comm_clean")
+    sugg = (
+        F.when(F.col("id") % 4 == 0, F.concat("sci_clean", F.lit(" (SCIENTIFIC)")))
+        .when(F.col("id") % 4 == 1, F.concat(F.lit("(COMMON) "), F.col("comm_clean")))
+        .when(F.col("id") % 4 == 2, F.concat("sci_clean", F.lit(" (COMMON)")))
+        .otherwise(F.concat(F.lit("OTHER "), F.col("comm_clean")))
+    )
+    return nl.review_spelling(rows.withColumn("sugg_spelling", sugg))
+
+
 @register(
     """SELECT id, code, string_agg(DISTINCT svc, ',' ORDER BY svc) AS code_svc, type AS code_type
 FROM all_found GROUP BY id, code, type"""
@@ -452,6 +491,57 @@ def sent_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nl.sent_codes(resolved(spark, sf_dir, fx.names(spark, sf_dir)).resolved)
 
 
+@register(f"SELECT w.*, '{VERSION_STAMP}' AS id_src FROM wide w")
+def resolved_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole resolution with nothing small enough to broadcast."""
+    return nl.resolve_names(
+        fx.names(spark, sf_dir), fx.authorities(spark, sf_dir, written=True),
+        "sci_name", "comm_name", broadcast_bytes=0,
+    ).resolved
+
+
+@register(f"SELECT w.*, '{VERSION_STAMP}' AS id_src FROM wide w")
+def resolved_second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All names, after a run over the customers' alone whose crosswalk answers are kept."""
+    rows, snapshots = fx.names(spark, sf_dir), fx.authorities(spark, sf_dir, written=True)
+    first = nl.resolve_names(rows.where("row_key > 10000000"), snapshots, "sci_name", "comm_name")
+    return nl.resolve_names(
+        rows, snapshots, "sci_name", "comm_name", checked=first.links
+    ).resolved
+
+
+@register(
+    """SELECT w.row_key, w.sci_name, w.aphiaid, w.aphiaid_definitive, w.tsn, w.tsn_definitive,
+  w.aphiaid_multi_flag, w.tsn_multi_flag, 'nomenlink.resolve_names (DEBUG)' AS id_src
+FROM wide w WHERE w.comm_name IS NULL"""
+)
+def resolved_one_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scientific names alone, with the debug stamp."""
+    rows = fx.names(spark, sf_dir).where("comm_name IS NULL").select("row_key", "sci_name")
+    found = nl.resolve_names(
+        rows, fx.authorities(spark, sf_dir, written=True), sci_col="sci_name", debug=True
+    )
+    return found.resolved.select(
+        "row_key", "sci_name", "aphiaid", "aphiaid_definitive", "tsn", "tsn_definitive",
+        "aphiaid_multi_flag", "tsn_multi_flag", "id_src",
+    )
+
+
+@register(
+    f"""SELECT n.*, {_REPORT}, '{VERSION_STAMP}' AS id_src
+FROM fx_names n RIGHT JOIN final f ON f.id = n.row_key
+WHERE (f.id, f.type) IN (SELECT (id, type) FROM final GROUP BY id, type HAVING count(*) > 1)"""
+)
+def assembled_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ambiguous candidates put together by row id."""
+    found = resolve_pairs(
+        stage(cleaned(spark, sf_dir), "rows").frame,
+        fx.authorities(spark, sf_dir, written=True),
+    ).frame
+    rows = fx.names(spark, sf_dir).withColumn("id", F.col("row_key"))
+    return nl.assemble(rows, found).ambiguous
+
+
 @register("SELECT w.* EXCLUDE (sci_name, comm_name), w.sci_name, w.comm_name, "
           f"'{VERSION_STAMP}' AS id_src FROM wide w")
 def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:

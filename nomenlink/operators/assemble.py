@@ -27,10 +27,12 @@ REPORT_COLUMNS = ("code_sugg", *CODE_COLUMNS[1:])
 
 
 class Resolved(NamedTuple):
-    """One row per input row, and the candidates of every ambiguous input row."""
+    """One row per input row, the candidates of every ambiguous input row, and what the
+    crosswalk answered to the codes sent, for a later run's ``checked``."""
 
     resolved: DataFrame
     ambiguous: DataFrame
+    links: DataFrame | None = None
 
 
 def id_source(debug: bool = False) -> Column:
@@ -86,14 +88,17 @@ def assemble(names: DataFrame, cands: DataFrame, debug: bool = False) -> Resolve
 def sent_codes(resolved: DataFrame) -> DataFrame:
     """The ``(code_type, code)`` pairs that a run sent through the crosswalk.
 
-    Kept by the caller, they are what a later run can leave out as ``checked``. A code
-    is sent if a name gave it and the other type was not definitive by then.
+    A code is sent if a name gave it and the other type was not definitive by then: a TSN
+    of a scientific name goes out before the common name can give an AphiaID.
     """
     sci, comm = KINDS
     aphia_sure = F.coalesce(F.col("aphiaid_definitive"), F.lit(False))
     tsn_sure = F.coalesce(F.col("tsn_definitive"), F.lit(False))
     tsn_was_known = tsn_sure & (F.col("tsn_src") == sci)
-    aphia_was_known = aphia_sure & (F.col("aphiaid_src") != TSN)
+    aphia_was_known = aphia_sure & (
+        (F.col("aphiaid_src") == sci)
+        | ((F.col("aphiaid_src") == comm) & (F.col("tsn_src") == comm))
+    )
     aphia = aphia_sure & (
         (F.col("aphiaid_src") == sci) | ((F.col("aphiaid_src") == comm) & ~tsn_was_known)
     )

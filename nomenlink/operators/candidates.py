@@ -60,14 +60,16 @@ def split_known_unknown(cands: DataFrame, master: DataFrame | None = None) -> Sp
     """Part definitive candidates from the others, and drop unknowns already known.
 
     An unknown is dropped when its id has a definitive code of the same type. The
-    services that gave the same unknown code are combined. With ``master``, only ids
-    in it are kept, and its names are attached.
+    services that gave the same unknown code are combined. With ``master``, its names are
+    attached: definitive candidates of ids that it lacks are left out, unknowns stay with
+    null names.
     """
+    known = cands.where(_is_definitive())
     if master is not None:
-        cands = cands.select("id", *CODE_COLUMNS).join(
-            master.select("id", "sci_clean", "comm_clean"), "id"
-        )
-    known = cands.where(_is_definitive()).distinct()
+        names = master.select("id", "sci_clean", "comm_clean")
+        known = names.join(known.select("id", *CODE_COLUMNS), "id")
+        cands = names.join(cands.select("id", *CODE_COLUMNS), "id", "right")
+    known = known.distinct()
     resolved = known.select(
         F.col("id").alias("_id"), F.col("code_type").alias("_type")
     ).distinct()

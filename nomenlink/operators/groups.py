@@ -1,7 +1,8 @@
 """Counting tests over groups of candidates.
 
-Each test is a map-side aggregate joined back to its rows, so a large group is never
-gathered into one task the way a window over it would be.
+Each test is a map-side aggregate joined back to its rows. No group is sorted or held as
+a window over it would be; where the join shuffles, adaptive execution splits a large
+group over several tasks.
 """
 
 from __future__ import annotations

@@ -12,8 +12,7 @@ from ..sources.staging import Staged, stage
 
 # A lookup is broadcast only up to this measured size.
 BROADCAST_BYTES = 32 << 20
-# A key is hot above this share of the rows, so fewer than MAX_HOT keys can be hot.
-MAX_HOT = 1000
+_HASH, _SALT = "_join_hash", "_join_salt"
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]) -> Column:
@@ -34,37 +33,35 @@ def attach(
     """Join rows to a staged lookup, ``inner`` or ``left``, dropping the lookup's keys.
 
     ``keys`` pairs row columns with lookup columns; null matches null. A lookup of
-    checked size is broadcast, and the rows do not move. Beyond that size the rows
-    shuffle, except those of hot keys: ``counts`` gives the rows per key (the lookup's
-    key names and ``n``), and the few keys above a fixed share are matched by a
-    broadcast of their own, checked in the same way. No row is dropped either way.
+    checked size is broadcast, and the rows do not move. Beyond that size the rows are
+    read once and shuffle by key. ``counts`` gives the rows per key (the lookup's key
+    names and ``n``): a key with more rows than a mean shuffle partition is dealt out to
+    as many partitions as its rows would fill, and its part of the lookup is repeated in
+    each. Fewer keys than there are partitions can be that hot, whatever their size.
     """
-    on_lookup = [b for _, b in keys]
     if lookup.size <= broadcast_bytes:
         return _joined(rows, F.broadcast(lookup.frame), keys, how)
 
-    per_key = counts()
-    total = per_key.agg(F.sum("n")).first()[0] or 0
-    hot = stage(
-        per_key.where(F.col("n") * MAX_HOT > F.lit(total)).select(*on_lookup), "hot"
-    )
-    if hot.rows == 0 or hot.size > broadcast_bytes:
-        return _joined(rows, lookup.frame, keys, how)
-    payload = stage(_payload(hot.frame, lookup.frame, on_lookup, how), "hot_lookup")
-    if payload.size > broadcast_bytes:
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hash_of = F.xxhash64(*(b for _, b in keys)).alias(_HASH)
+    per_hash = counts().groupBy(hash_of).agg(F.sum("n").alias("n"))
+    total = per_hash.agg(F.sum("n")).first()[0] or 0
+    mean = max(1, total // partitions)
+    hot = per_hash.where(F.col("n") > mean)
+    hot = stage(hot.select(_HASH, F.ceil(F.col("n") / mean).cast("int").alias("_shares")), "hot")
+    if hot.rows == 0:
         return _joined(rows, lookup.frame, keys, how)
-    hot_rows = _joined(rows, F.broadcast(payload.frame), keys, "inner")
-    cold = rows.join(
-        F.broadcast(hot.frame), null_safe(rows, hot.frame, keys), "left_anti"
-    )
-    return hot_rows.unionByName(_joined(cold, lookup.frame, keys, how))
-
-
-def _payload(hot: DataFrame, lookup: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """The lookup's rows for the hot keys; a left join keeps the keys it lacks."""
-    same = [(k, k) for k in keys]
-    found = lookup.join(F.broadcast(hot), null_safe(lookup, hot, same), "left_semi")
-    return _joined(hot, found, same, how).select(*lookup.columns)
+    # One hash and one number for each hot key, so at most sixteen bytes per partition.
+    shares = F.broadcast(hot.frame)
+    one = F.coalesce("_shares", F.lit(1))
+    dealt = rows.withColumn(_HASH, F.xxhash64(*(a for a, _ in keys))).join(shares, _HASH, "left")
+    # Rows of a partition are dealt in turn, equal ones as well.
+    turn = F.pmod(F.monotonically_increasing_id(), one.cast("bigint")).cast("int")
+    dealt = dealt.withColumn(_SALT, turn).drop(_HASH, "_shares")
+    repeated = lookup.frame.withColumn(_HASH, hash_of).join(shares, _HASH, "left")
+    repeated = repeated.withColumn(_SALT, F.explode(F.sequence(F.lit(0), one - 1)))
+    repeated = repeated.drop(_HASH, "_shares")
+    return _joined(dealt, repeated, [*keys, (_SALT, _SALT)], how).drop(_SALT)
 
 
 def _joined(

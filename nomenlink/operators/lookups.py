@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import token_count
-from ..functions.rules import MIN_LENGTH
 from ..sources.authorities import Authorities
 
 
@@ -68,22 +67,24 @@ def derive_best_match(names: DataFrame, authorities: Authorities, kind: str) ->
 
     An authority name matches exactly, or by pattern when it starts with the name.
     Each authority name yields its own prefixes, which turns the prefix search into an
-    equality join; they are reduced to one row per prefix before anything is joined.
+    equality join. Only prefixes that are asked for are aggregated, to one row each.
     """
     if kind == "scientific":
         known = authorities.worms_taxa.select(F.col("scientificname").alias("known"), "aphia_id")
     else:
         known = authorities.worms_vernacular.select(F.col("vernacular").alias("known"), "aphia_id")
     length = F.char_length("known")
-    prefixes = known.where(length >= MIN_LENGTH).select(
-        "known", "aphia_id", F.explode(F.sequence(F.lit(MIN_LENGTH), length)).alias("at")
-    )
+    # One row per length in use; a name has few hundred characters at most.
+    lengths = [r[0] for r in names.select(F.char_length("name")).distinct().collect()]
+    at = F.filter(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"), lambda n: n <= length)
+    prefixes = known.select("known", "aphia_id", F.explode(at).alias("at"))
     best = (
         prefixes.select(
             F.substring("known", F.lit(1), F.col("at")).alias("name"),
             (F.col("at") < length).alias("pattern_match"),
             "aphia_id",
         )
+        .join(names, "name", "left_semi")
         .groupBy("name")
         .agg(
             F.min(F.struct("pattern_match", "aphia_id")).alias("best"),
@@ -108,6 +109,25 @@ def verify_match(matches: DataFrame, authorities: Authorities) -> DataFrame:
     )
 
 
+def search_itis_shortest(names: DataFrame, authorities: Authorities, kind: str) -> DataFrame:
+    """The part of ``search_itis`` that its decision keeps.
+
+    A unit with as many words as the name is the name itself. So names that are units
+    find those, by a plain join; only the others are searched by leading words.
+    """
+    exact = names.join(
+        _itis_known(authorities, kind), F.col("name") == F.col("found_name")
+    ).select("name", F.lit(kind).alias("kind"), "tsn", "found_name")
+    others = names.join(exact.select("name"), "name", "left_anti")
+    return exact.distinct().unionByName(search_itis(others, authorities, kind))
+
+
+def _itis_known(authorities: Authorities, kind: str) -> DataFrame:
+    if kind == "scientific":
+        return authorities.itis_names.select("tsn", F.col("combined_name").alias("found_name"))
+    return authorities.itis_vernacular.select("tsn", F.col("common_name").alias("found_name"))
+
+
 def search_itis(names: DataFrame, authorities: Authorities, kind: str) -> DataFrame:
     """ITIS units whose name is the searched name or continues it by whole words.
 
@@ -115,10 +135,7 @@ def search_itis(names: DataFrame, authorities: Authorities, kind: str) -> DataFr
     found_name``, without duplicates. Each authority name yields its leading words as
     keys, which makes the search an equality join.
     """
-    if kind == "scientific":
-        known = authorities.itis_names.select("tsn", F.col("combined_name").alias("found_name"))
-    else:
-        known = authorities.itis_vernacular.select("tsn", F.col("common_name").alias("found_name"))
+    known = _itis_known(authorities, kind)
     words = F.split("found_name", " ")
     keys = known.where(F.col("found_name").isNotNull()).select(
         "tsn", "found_name", F.explode(F.sequence(F.lit(1), token_count(F.col("found_name")))).alias("at")
@@ -132,19 +149,29 @@ def search_itis(names: DataFrame, authorities: Authorities, kind: str) -> DataFr
 
 def usage_ratings(authorities: Authorities) -> DataFrame:
     """Whether the usage rating of each TSN is ``valid``; a null rating is not."""
+    return _ratings(authorities.itis_units)
+
+
+def _ratings(units: DataFrame) -> DataFrame:
     valid = F.coalesce(F.col("usage_rating") == "valid", F.lit(False))
-    return authorities.itis_units.groupBy("tsn").agg(F.bool_or(valid).alias("is_valid"))
+    return units.groupBy("tsn").agg(F.bool_or(valid).alias("is_valid"))
 
 
 def with_usage(found: DataFrame, authorities: Authorities) -> DataFrame:
     """Add ``is_valid`` to rows with a ``tsn``; false where the TSN is not rated."""
-    rated = found.join(usage_ratings(authorities), "tsn", "left")
-    return rated.withColumn("is_valid", F.coalesce("is_valid", F.lit(False)))
+    # Rows without a TSN would all meet in one task of the join.
+    coded = found.where(F.col("tsn").isNotNull())
+    wanted = authorities.itis_units.join(coded.select("tsn").distinct(), "tsn", "left_semi")
+    rated = coded.join(_ratings(wanted), "tsn", "left")
+    rated = rated.withColumn("is_valid", F.coalesce("is_valid", F.lit(False)))
+    return rated.unionByName(
+        found.where(F.col("tsn").isNull()).withColumn("is_valid", F.lit(False))
+    )
 
 
 def with_accepted(found: DataFrame, authorities: Authorities) -> DataFrame:
     """Add ``accepted_tsn, accepted_name`` to rows with a ``tsn``, null if no synonym."""
-    return found.join(authorities.itis_synonyms, "tsn", "left")
+    return found.join(authorities.itis_synonyms.distinct(), "tsn", "left")
 
 
 def tsns_of(codes: DataFrame, authorities: Authorities) -> DataFrame:

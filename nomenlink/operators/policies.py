@@ -166,14 +166,17 @@ def tsn_links(codes: DataFrame, authorities: Authorities) -> DataFrame:
 def aphia_links(codes: DataFrame, authorities: Authorities) -> DataFrame:
     """What each distinct TSN in ``code`` leads to, keyed by it as ``sent``.
 
-    A valid id is definitive. A record without one gives its own id, and a TSN without
-    a record a null one.
+    The valid id of a single record is definitive; those of several records are not. A
+    record without one gives its own id, and a TSN without a record a null one.
     """
     valid = F.col("valid_aphia_id").isNotNull()
-    return records_of(codes, authorities).select(
+    records = with_group_stats(
+        records_of(codes, authorities), ["code"], _records=F.count("aphia_id")
+    )
+    return records.select(
         F.col("code").alias("sent"),
         *tagged(
-            F.coalesce("valid_aphia_id", "aphia_id"), valid,
+            F.coalesce("valid_aphia_id", "aphia_id"), valid & (F.col("_records") == 1),
             F.when(valid, canonical(F.col("valid_name"))), WORMS_SERVICE, APHIAID, F.lit(TSN),
         ),
     )

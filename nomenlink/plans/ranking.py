@@ -45,7 +45,9 @@ def with_link_facts(decided: DataFrame, links: DataFrame) -> DataFrame:
         F.bool_or("code_definitive").alias("link_sure"),
         (F.count("code") > 0).alias("link_any"),
     )
-    return decided.join(facts, ["code", "code_type"], "left")
+    # Candidates without a code would all meet in one task of the join.
+    coded = decided.where(F.col("code").isNotNull()).join(facts, ["code", "code_type"], "left")
+    return coded.unionByName(decided.where(F.col("code").isNull()), allowMissingColumns=True)
 
 
 def _facts(rows: Column, sure: Column) -> Column:

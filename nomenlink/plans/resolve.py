@@ -35,7 +35,7 @@ from ..operators.joins import BROADCAST_BYTES, attach
 from ..operators.lookups import (
     best_match,
     distinct_keys,
-    search_itis,
+    search_itis_shortest,
     search_worms,
     verify_match,
     with_accepted,
@@ -80,13 +80,13 @@ def resolve_names(
 ) -> Resolved:
     """Find the AphiaID and the TSN of every row by its scientific and common name.
 
-    ``checked`` may name ``(code_type, code)`` pairs that an earlier run has already
-    sent through the crosswalk; they are not sent again.
+    ``checked`` may be the ``links`` of an earlier run: what the crosswalk answered then.
+    Those codes are not looked up again, and the rows that have them get the old answers.
     """
     used = check_columns(names, sci_col, comm_col)
     check_names_free(names)
     pairs = stage_pairs(names, sci_col, comm_col, sci_filters, comm_filters)
-    cands = resolve_pairs(pairs.frame, authorities, checked, broadcast_bytes).frame
+    cands, links = resolve_with_links(pairs.frame, authorities, checked, broadcast_bytes)
 
     raw = {sci_col: "sci_raw", comm_col: "comm_raw"}
     keys = [(c, raw[c]) for c in used]
@@ -96,6 +96,7 @@ def resolve_names(
     def rows_per_pair() -> DataFrame:
         return pairs.frame.select(*lookup_keys, "n")
 
+    cands = stage(cands, "candidates").frame
     wide = stage(ids.join(wide_codes(cands), "id").drop("id"), "wide")
     report = stage(ids.join(ambiguous_codes(cands), "id").drop("id"), "report")
     resolved = attach(names, wide, keys, "left", rows_per_pair, broadcast_bytes)
@@ -104,6 +105,7 @@ def resolve_names(
     return Resolved(
         with_flags(resolved).select(*names.columns, *WIDE_COLUMNS, *FLAG_COLUMNS, stamp),
         ambiguous.select(*names.columns, *REPORT_COLUMNS, stamp),
+        links,
     )
 
 
@@ -132,6 +134,16 @@ def resolve_pairs(
 
     ``pairs`` must be stable, as it is read more than once.
     """
+    return stage(resolve_with_links(pairs, authorities, checked, broadcast_bytes)[0], "candidates")
+
+
+def resolve_with_links(
+    pairs: DataFrame,
+    authorities: Authorities,
+    checked: DataFrame | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> tuple[DataFrame, DataFrame]:
+    """As ``resolve_pairs``, not written, and all crosswalk answers."""
     pairs = pairs.where(eligible(F.col("sci_clean"), F.col("comm_clean"))).select(
         "id", "sci_clean", "comm_clean"
     )
@@ -188,7 +200,7 @@ def resolve_pairs(
     sure = F.col("code_definitive")
     exact = prefer_exact_spelling(found.where(~sure))
     result = found.where(sure).unionByName(exact).select("id", *CODE_COLUMNS)
-    return stage(result.distinct(), "candidates")
+    return result.distinct(), links.frame
 
 
 def search_all(pairs: DataFrame, authorities: Authorities) -> DataFrame:
@@ -221,7 +233,7 @@ def search_all(pairs: DataFrame, authorities: Authorities) -> DataFrame:
 
     best = decide_best(verify_match(both(best_match), authorities))
     worms = decide_worms(both(search_worms))
-    units = with_accepted(with_usage(both(search_itis), authorities), authorities)
+    units = with_accepted(with_usage(both(search_itis_shortest), authorities), authorities)
     return (
         ranked(worms, WORMS_RANK)
         .unionByName(ranked(best, BEST_RANK), allowMissingColumns=True)
@@ -235,14 +247,24 @@ def cross_all(
     """What every code that may be definitive leads to in the other code type.
 
     Besides the definitive codes, one of several records can become so by its spelling.
-    Where a code leads to definitive ones, its other links are dropped.
+    Where a code leads to definitive ones, its other links are dropped. Codes that the
+    saved links ``checked`` answer are not looked up; their answers are taken from there.
     """
     may_be = F.col("code_definitive") | F.coalesce("several", F.lit(False))
-    sent = unchecked_codes(decided.where(may_be).select("code_type", "code"), checked)
+    sent = decided.where(may_be).select("code_type", "code")
+    if checked is not None:
+        sent = unchecked_codes(sent, sent_before(checked))
     aphias = distinct_keys(sent.where(F.col("code_type") == APHIAID), "code", "code")
     tsns = distinct_keys(sent.where(F.col("code_type") == TSN), "code", "code")
     links = tsn_links(aphias, authorities).unionByName(aphia_links(tsns, authorities))
-    return keep_if_any(links, ["sent", "code_type"], F.col("code_definitive"))
+    links = keep_if_any(links, ["sent", "code_type"], F.col("code_definitive"))
+    return links if checked is None else links.unionByName(checked.select(*links.columns))
+
+
+def sent_before(links: DataFrame) -> DataFrame:
+    """The ``(code_type, code)`` pairs that saved links answer."""
+    other = F.when(F.col("code_type") == TSN, APHIAID).otherwise(TSN)
+    return links.select(other.alias("code_type"), F.col("sent").alias("code")).distinct()
 
 
 def _counts(rows: DataFrame, **keys: str) -> Callable[[], DataFrame]:

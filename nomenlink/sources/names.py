@@ -17,6 +17,8 @@ def check_columns(df: DataFrame, sci_col: str | None, comm_col: str | None) -> l
     used = [c for c in (sci_col, comm_col) if c is not None]
     if not used:
         raise ValueError("name at least one of sci_col and comm_col")
+    if len(used) == 2 and sci_col.lower() == comm_col.lower():
+        raise ValueError("sci_col and comm_col must be different columns")
     missing = [c for c in used if c not in df.columns]
     if missing:
         raise ValueError(f"no such columns: {missing}")

@@ -61,21 +61,39 @@ def test_attach_gives_the_same_rows_by_every_way(spark, how):
     assert not asked
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
     want = shape(small, ["id", "k", "v"])
-    # The lookup counts as too large, its hot part does not.
-    large = Staged(table.frame, table.rows, 1 << 40)
-    split = attach(df, large, [("k", "k")], how, counts)
-    assert asked
-    assert "LeftAnti" in split._jdf.queryExecution().analyzed().toString()
-    assert shape(split, ["id", "k", "v"]) == want
-    # Nothing may be broadcast.
-    plain = attach(df, table, [("k", "k")], how, counts, broadcast_bytes=0)
-    assert shape(plain, ["id", "k", "v"]) == want
+    # Whatever the limit, a lookup above it is joined with the hot keys dealt out.
+    for size, limit in ((1 << 40, 1 << 25), (1 << 40, 600), (table.size, 0)):
+        dealt = attach(df, Staged(table.frame, table.rows, size), [("k", "k")], how, counts, limit)
+        assert asked and dealt.columns == ["id", "k", "v"]
+        plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+        assert "_join_salt" in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") <= 1
+        assert shape(dealt, ["id", "k", "v"]) == want
     # 1000 hot rows match twice; of the others, k2 and k5 match once.
     others = sum(k in ("k2", "k5") for _, k in rows)
     unmatched = 2000 - others if how == "left" else 0
     assert len(want) == 2000 + others + unmatched
 
 
+def test_no_task_gets_much_more_than_its_share(spark):
+    """The rows of a hot key, and of a null key, spread over the partitions of the join."""
+    df = spark.range(9000, numPartitions=3).selectExpr(
+        "id", "CASE id % 3 WHEN 0 THEN 'hot' WHEN 1 THEN NULL ELSE 'k' || id END AS k"
+    )
+    table = stage(spark.createDataFrame([("hot", 1), (None, 2)], "k string, v int"), "lookup")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = attach(df, table, [("k", "k")], "left", lambda: df.groupBy("k").agg(F.count("*").alias("n")), 0)
+        sizes = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(r["count"] for r in sizes) == 9000
+    assert max(r["count"] for r in sizes) < 3 * 9000 / 12
+
+
 def test_attach_matches_null_keys(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "a", None), (3, "a", "x")], "id int, a string, b string")
     table = stage(

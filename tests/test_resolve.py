@@ -49,9 +49,8 @@ def random_world(seed):
 class Naive:
     """One row at a time, one pass after the other."""
 
-    def __init__(self, world, checked=()):
+    def __init__(self, world):
         self.w = world
-        self.checked = set(checked)
         self.taxa = {t[0]: t for t in world["worms_taxa"]}
         self.rating = {t for t, r in world["itis_units"] if r == "valid"}
 
@@ -110,18 +109,14 @@ class Naive:
         return [(c, "RITIS", sure, kind, s) for c, s in set(units)]
 
     def to_tsn(self, code):
-        if ("APHIAID", code) in self.checked:
-            return []
         tsns = {t for a, t in self.w["xwalk"] if a == code}
         return [(t, "WORRMS", t in self.rating, "APHIAID", None) for t in tsns]
 
     def to_aphia(self, code):
-        if ("TSN", code) in self.checked:
-            return []
         found = [self.taxa[a] for a in {a for a, t in self.w["xwalk"] if t == code}]
         return [
-            (t[3] if t[3] is not None else t[0], "WORRMS", t[3] is not None, "TSN",
-             t[4] if t[3] is not None else None)
+            (t[3] if t[3] is not None else t[0], "WORRMS",
+             t[3] is not None and len(found) == 1, "TSN", t[4] if t[3] is not None else None)
             for t in found
         ]
 
@@ -204,28 +199,65 @@ def test_against_the_naive_passes(spark, seed, limit):
     assert answered > 100
 
 
-def test_checked_codes_are_not_sent_again(spark):
-    world, rows = random_world(5)
-    checked = [("APHIAID", i) for i in range(1, 41, 2)] + [("TSN", i) for i in range(101, 141, 2)]
-    result = resolve_names(
-        spark.createDataFrame(rows, NAMES), snapshots(spark, **world), "sci", "comm",
-        checked=spark.createDataFrame(checked, "code_type string, code long"),
+def without_crosswalk(spark, world):
+    """Snapshots in which no code leads anywhere."""
+    return snapshots(spark, **{**world, "xwalk": []})
+
+
+def test_a_second_run_takes_the_answers_of_the_first_one(spark):
+    world, rows = random_world(10)
+    half, known = rows[::2], snapshots(spark, **world)
+    first = resolve_names(spark.createDataFrame(half, NAMES), known, "sci", "comm")
+    assert {r["code_type"] for r in first.links.select("code_type").distinct().collect()} == {"APHIAID", "TSN"}
+    # Codes that the first run sent get their answers although the crosswalk has gone.
+    again = resolve_names(
+        spark.createDataFrame(half, NAMES), without_crosswalk(spark, world), "sci", "comm",
+        checked=first.links,
     )
-    naive = Naive(world, checked)
-    got = as_sets(result)
+    assert as_sets(again) == as_sets(first)
+    # New codes are looked up, and all rows come out as in a run from scratch.
+    whole = resolve_names(
+        spark.createDataFrame(rows, NAMES), known, "sci", "comm", checked=first.links
+    )
+    naive = Naive(world)
+    got = as_sets(whole)
     assert {k: got[k] for k, _, _ in rows} == {k: naive.row(s, c) for k, s, c in rows}
+    before = {tuple(r) for r in first.links.collect()}
+    assert before < {tuple(r) for r in whole.links.collect()}
 
 
-def test_a_second_run_leaves_out_what_the_first_one_sent(spark):
-    world, rows = random_world(10)
-    df, known = spark.createDataFrame(rows, NAMES), snapshots(spark, **world)
-    first = resolve_names(df, known, "sci", "comm")
-    sent = sent_codes(first.resolved)
-    kinds = {r["code_type"] for r in sent.collect()}
-    assert kinds == {"APHIAID", "TSN"}
-    second = resolve_names(df, known, "sci", "comm", checked=sent)
-    sources = second.resolved.select("aphiaid_src", "tsn_src").distinct().collect()
-    assert all(r["aphiaid_src"] != "TSN" and r["tsn_src"] != "APHIAID" for r in sources)
+def test_sent_codes_of_one_row(spark):
+    """The TSN of a scientific name went out, though the common name gave the AphiaID."""
+    taxa = [(3, "Alba nova", "accepted", 3, "Alba nova")]
+    known = snapshots(
+        spark, worms_taxa=taxa, worms_vernacular=[(3, "Whitefish")],
+        itis_names=[(101, "Gadu mino")], itis_units=[(101, "valid")],
+    )
+    rows = spark.createDataFrame([(1, "Gadu mino", "Whitefish")], NAMES)
+    result = resolve_names(rows, known, "sci", "comm")
+    got = result.resolved.first()
+    assert (got["aphiaid"], got["aphiaid_src"], got["tsn"], got["tsn_src"]) == (3, "common", 101, "scientific")
+    assert [tuple(r) for r in sent_codes(result.resolved).collect()] == [("TSN", 101)]
+
+
+def test_a_tsn_with_several_records_leaves_the_aphiaid_to_the_common_name(spark):
+    taxa = [(i, n, "accepted", i, n) for i, n in ((1, "Alba"), (2, "Nova"), (3, "Rubra"))]
+    known = snapshots(
+        spark, worms_taxa=taxa, worms_vernacular=[(3, "Whitefish")], xwalk=[(1, 101), (2, 101)],
+        itis_names=[(101, "Gadu mino")], itis_units=[(101, "valid")],
+    )
+    rows = spark.createDataFrame([(1, "Gadu mino", "Whitefish"), (2, "Gadu mino", None)], NAMES)
+    got = as_sets(resolve_names(rows, known, "sci", "comm"))
+    assert got[1]["APHIAID"] == {(3, "WORRMS", True, "common", "RUBRA")}
+    assert got[2]["APHIAID"] == {(i, "WORRMS", False, "TSN", n) for i, n in ((1, "ALBA"), (2, "NOVA"))}
+
+
+def test_repeated_snapshot_lines_change_nothing(spark):
+    world, rows = random_world(11)
+    twice = {**world, **{n: world[n] * 2 for n in world if n != "worms_taxa"}}
+    df = spark.createDataFrame(rows, NAMES)
+    one, two = (as_sets(resolve_names(df, snapshots(spark, **w), "sci", "comm")) for w in (world, twice))
+    assert one == two
 
 
 @pytest.mark.parametrize("column", ["sci", "comm"])
@@ -326,7 +358,7 @@ def test_no_python_and_no_cross_joins_in_the_plan(spark):
     df = spark.createDataFrame(rows, NAMES)
     for limit in (1 << 20, 0):
         result = resolve_names(df, snapshots(spark, **world), "sci", "comm", broadcast_bytes=limit)
-        for frame in result:
+        for frame in result[:2]:
             plan = frame._jdf.queryExecution().executedPlan().toString()
             for unwanted in ("Python", "Cartesian", "NestedLoop", "Window"):
                 assert unwanted not in plan
