@@ -20,7 +20,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
     larger = both.where(F.col("b") > F.col("a"))
-    return larger.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return larger.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -41,14 +41,11 @@ def components(edges: DataFrame) -> DataFrame:
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
     now = written(ordered.distinct(), "links")
-    while True:
-        after = written(_small_star(_large_star(now)), "stars")
-        # Stars only: no smallest node is linked to a smaller one, and each node once.
-        centres = after.select(F.col("b").alias("a")).distinct()
-        open_links = after.join(centres, "a", "left_semi").limit(1).count()
-        if not open_links and not after.groupBy("a").count().where("count > 1").limit(1).count():
-            break
-        now = after
-    nodes = after.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    roots = after.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return nodes.unionByName(roots)
+    nodes = now.select(F.explode(F.array("a", "b")).alias("node")).distinct().count()
+    # A component of n nodes has n - 1 links at least, and one centre at least. So there
+    # are as many links as nodes without the centres only if all components are stars.
+    while now.count() != nodes - now.select("b").distinct().count():
+        now = written(_small_star(_large_star(now)), "stars")
+    members = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    centres = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return members.unionByName(centres)

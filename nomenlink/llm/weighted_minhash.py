@@ -9,14 +9,17 @@ Consistent weighted sampling draws ``BANDS * ROWS`` samples of each text, such t
 texts agree on a sample with the probability of their weighted Jaccard similarity. Texts
 that agree on a whole band meet in a bucket. A bucket proposes pairs in two passes:
 
-1. Each text is paired with the first text of its bucket that agrees with it on half of
-   all samples. So a group of copies proposes one pair per text, not all pairs.
-2. Verified pairs give components. Buckets that still have several components propose
-   all pairs of different components that agree on half of all samples.
-
-Every proposed pair is verified by its exact weighted Jaccard similarity. A pair above
-the threshold is not proposed with probability 0.0002 at 0.8 exactly, and less above.
-Large buckets are worked on in blocks of ``BLOCK`` texts; nothing is capped.
+1. Each text is paired with the text before it in its bucket that agrees with it on most
+   samples, if those are at least ``ALIKE`` of all. So a group of copies proposes one pair
+   per text, not all pairs. The pairs are verified and give components.
+2. Buckets that still have several components get the shingles of their texts. Their
+   tasks verify all pairs of different components that agree on ``ALIKE`` samples, and
+   give back the links that connect components, not the pairs.
+
+Every link is verified by the exact weighted Jaccard similarity of whole texts. A pair of
+0.8 exactly misses every band with a probability of 0.0002 and falls below ``ALIKE`` with
+one of 0.0001; both fall steeply above. Large buckets are worked on in blocks; nothing is
+capped.
 
 Texts of equal word sequences are one node from the start, whatever their number.
 
@@ -33,19 +36,22 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_id, mix64, small_batches, with_key, written
+from .common import doc_id, mix64, small_batches, sorted_groups, with_key, written
 from .components import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 16
 ROWS = 4
-# Texts of a bucket that one task compares with as many others.
+# Samples that two texts must share to be compared: four deviations below the mean at 0.8.
+ALIKE = 38
+# Texts of a bucket that one task compares by samples, and by shingles with as many others.
 BLOCK = 2048
+SET_BLOCK = 1024
 # Words with a document frequency below one document in so many share one IDF.
 RARE = 1000
 # Upper bound of the words in the IDF table, kept by raising the floor above.
@@ -268,86 +274,112 @@ def _signatures(docs: DataFrame, idf) -> DataFrame:
     return found.select(doc_id(), "node", "bands", "samples")
 
 
-def _agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    return (many == one).sum(1)
-
-
-def _matrix(samples: pd.Series) -> np.ndarray:
+def _matrix(samples: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(samples), np.uint16).reshape(-1, _SAMPLES)
 
 
 _PAIR = "a binary, b binary"
-_HALF = _SAMPLES // 2
 
 
-def _first_alike(group: pd.DataFrame) -> pd.DataFrame:
-    """Pair each text of a bucket block with the first one that is alike."""
-    group = group.sort_values("node", ignore_index=True)
-    samples = _matrix(group["samples"])
-    nodes = group["node"].tolist()
-    left = np.arange(len(nodes))
-    pairs = []
-    while len(left) > 1:
-        alike = _agreement(samples[left[0]], samples[left[1:]]) >= _HALF
-        pairs += [(nodes[i], nodes[left[0]]) for i in left[1:][alike]]
-        left = left[1:][~alike]
-    return pd.DataFrame(pairs, columns=["a", "b"])
+def _best_before(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pair each text of a bucket block with the one before that agrees most with it."""
+    pairs: list[tuple[bytes, bytes]] = []
+    for group in sorted_groups(batches, ["bucket", "block"]):
+        samples, nodes = _matrix(group["samples"]), group["node"]
+        for i in range(1, len(nodes)):
+            agreed = (samples[:i] == samples[i]).sum(1)
+            best = int(agreed.argmax())
+            if agreed[best] >= ALIKE:
+                pairs.append((nodes[i], nodes[best]))
+        if len(pairs) > 50_000:
+            yield pd.DataFrame(set(pairs), columns=["a", "b"])
+            pairs = []
+    yield pd.DataFrame(set(pairs), columns=["a", "b"])
 
 
-def _alike_across(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of alike texts in different components, of two blocks or within one.
+def _links_across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links between components of a bucket, within one block or between two.
 
-    Texts of the component with most texts are compared with the others only.
+    Texts of the largest component are compared with the others only, and texts that
+    links found so far connect are not compared again.
     """
-    group = group.sort_values("node", ignore_index=True)
-    samples = _matrix(group["samples"])
-    part = pd.factorize(group["component"])[0]
-    side = group["side"].to_numpy()
-    within = group["block"].iloc[0] == group["other"].iloc[0]
-    nodes = group["node"].tolist()
-    main = np.bincount(part).argmax()
-    pairs = []
-    others = np.flatnonzero(part != main)
-    for i in others:
-        able = part != part[i]
-        if not within:
-            able &= side != side[i]
-        # Two texts outside the main component meet once.
-        able[others[others <= i]] = False
-        able = np.flatnonzero(able)
-        alike = able[_agreement(samples[i], samples[able]) >= _HALF]
-        pairs += [(nodes[i], nodes[j]) for j in alike]
-    return pd.DataFrame(pairs, columns=["a", "b"])
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, idf) -> DataFrame:
-    """The pairs of at least the threshold, from the whole texts of both nodes."""
-    needed = written(
-        pairs.select(F.col("a").alias("_n")).unionByName(pairs.select(F.col("b").alias("_n"))).distinct(),
-        "needed",
-    )
-    small = needed.count() * 64 <= BROADCAST_BYTES
-    found = docs.select(_node_of("text").alias("node"), "text")
-    found = found.join(F.broadcast(needed) if small else needed, found["node"] == needed["_n"], "left_semi")
-    texts = written(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+    for group in sorted_groups(batches, ["bucket", "block", "other"]):
+        order = np.argsort(group["node"], kind="stable")
+        group = {c: v[order] for c, v in group.items()}
+        samples, nodes = _matrix(group["samples"]), group["node"]
+        _, part = np.unique(group["component"], return_inverse=True)
+        within = group["block"][0] == group["other"][0]
+        side = group["side"]
+        others = np.flatnonzero(part != np.bincount(part).argmax())
+        done = np.zeros(len(nodes), bool)
+        links = []
+        for i in others.tolist():
+            done[i] = True
+            agreed = samples == samples[i]
+            able = (part != part[i]) & ~done & (agreed.sum(1) >= ALIKE)
+            if not within:
+                able &= side != side[i]
+            # A pair that agrees on several bands is compared in the first of them.
+            bands = agreed.reshape(len(nodes), BANDS, ROWS).all(2)
+            able &= bands[:, : group["band"][0]].sum(1) == 0
+            mine = None
+            for j in np.flatnonzero(able).tolist():
+                if part[i] == part[j]:
+                    continue
+                mine = mine or _set_of(group, i)
+                if similarity(mine, _set_of(group, j)) >= THRESHOLD - 1e-9:
+                    links.append((nodes[i], nodes[j]))
+                    part[part == part[j]] = part[i]
+        yield pd.DataFrame(links, columns=["a", "b"])
+
+
+def _set_of(group: dict[str, np.ndarray], i: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(group["keys"][i], np.uint64), np.frombuffer(group["weights"][i])
+
+
+def _shingle_sets(keyed: DataFrame, wanted: DataFrame, idf) -> DataFrame:
+    """Written ``node, keys, weights`` of the wanted nodes.
+
+    ``wanted`` has ``node, absent, id``, the key of a row that has the node.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            nodes, keys, weights = [], [], []
+            for text in batch["text"]:
+                hashes = word_hashes(text)
+                own, weight = shingles(hashes, idf.value)
+                nodes.append(_node(hashes))
+                keys.append(own.tobytes())
+                weights.append(weight.tobytes())
+            yield pd.DataFrame({"node": nodes, "keys": keys, "weights": weights})
+
+    wanted = written(wanted, "wanted")
+    rows = wanted.select("absent", "id").distinct()
+    small = wanted.count() * 64 <= BROADCAST_BYTES
+    found = keyed.join(F.broadcast(rows) if small else rows, ["absent", "id"], "left_semi")
+    sets = found.select("text").mapInPandas(run, "node binary, keys binary, weights binary")
+    # Rows of one id can have other texts.
+    sets = sets.join(F.broadcast(wanted.select("node")) if small else wanted.select("node"), "node", "left_semi")
+    return written(sets.dropDuplicates(["node"]), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of at least the threshold."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
-            for a, b, text_a, text_b in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"]):
-                if b not in known:
-                    if len(known) >= 64:
-                        known.clear()
-                    known[b] = shingles(word_hashes(text_b), idf.value)
-                found = similarity(shingles(word_hashes(text_a), idf.value), known[b])
-                keep.append(found >= THRESHOLD - 1e-9)
+            for ka, wa, kb, wb in zip(*(batch[c] for c in ("keys_a", "weights_a", "keys_b", "weights_b"))):
+                a = np.frombuffer(ka, np.uint64), np.frombuffer(wa)
+                b = np.frombuffer(kb, np.uint64), np.frombuffer(wb)
+                keep.append(similarity(a, b) >= THRESHOLD - 1e-9)
             yield batch.loc[keep, ["a", "b"]]
 
-    both = pairs.join(left, "a").join(right, "b")
-    return written(both.mapInPandas(verify, _PAIR), "links")
+    for c in ("a", "b"):
+        named = sets.withColumnsRenamed({"node": c, "keys": f"keys_{c}", "weights": f"weights_{c}"})
+        pairs = pairs.join(named, c)
+    return written(pairs.mapInPandas(run, _PAIR), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -362,59 +394,57 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = written(
         _signatures(docs, idf).withColumn("row", F.monotonically_increasing_id()), "signatures"
     )
-    nodes = rows.where(F.col("node").isNotNull())
-    nodes = nodes.groupBy("node").agg(F.first("bands").alias("bands"), F.first("samples").alias("samples"))
+    key = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"))
+    nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(
+        F.first("bands").alias("bands"), F.first("samples").alias("samples"), F.min(key).alias("key")
+    )
     nodes = written(nodes, "nodes")
-    keys = nodes.select("node", F.explode("bands").alias("bucket"))
+    keys = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Only texts that share a bucket carry their samples there.
-    members = keys.join(sizes, "bucket").join(nodes.select("node", "samples"), "node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int")
-    members = written(
-        members.select("bucket", "node", "samples", blocks.alias("blocks"), block.alias("block")),
-        "members",
+    members = keys.join(sizes, "bucket").join(nodes.select("node", "samples", "key"), "node")
+    members = written(members, "members")
+    sets = _shingle_sets(
+        with_key(docs, "text"),
+        with_key(members.select("node", "key.*").distinct().withColumnRenamed("id", "doc_id"), "node"),
+        idf,
     )
 
-    star = members.groupBy("bucket", "block").applyInPandas(_first_alike, _PAIR)
+    def block_of(size: int) -> Column:
+        return F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("n") / size)).cast("int")
+
+    blocks = members.select("bucket", "node", "samples", block_of(BLOCK).alias("block"))
+    star = blocks.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "node")
+    star = star.mapInPandas(_best_before, _PAIR)
     # The blocks of a divided bucket are tied together by their first texts.
     heads = (
-        members.where("blocks > 1")
-        .groupBy("bucket", "block")
+        members.where(F.col("n") > BLOCK)
+        .groupBy("bucket", block_of(BLOCK).alias("block"))
         .agg(F.min("node").alias("a"))
-        .withColumn("b", F.min("a").over(Window.partitionBy("bucket")))
-        .where("a != b")
-        .select("a", "b")
     )
-    first = written(star.unionByName(heads).distinct(), "pairs")
-    links = _verified(docs, first, idf)
+    heads = heads.join(heads.groupBy("bucket").agg(F.min("a").alias("b")), "bucket")
+    pairs = star.unionByName(heads.where("a != b").select("a", "b")).distinct()
+    links = _verified(pairs, sets)
     parts = components(links)
 
     placed = members.join(parts, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
-    open_buckets = (
-        placed.groupBy("bucket")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low != high")
-        .select("bucket")
-    )
-    mixed = written(placed.join(open_buckets, "bucket"), "mixed")
+    several = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    several = several.where("low != high").select("bucket")
+    mixed = placed.join(several, "bucket").join(sets, "node")
+    mixed = mixed.withColumns({"side": block_of(SET_BLOCK), "blocks": F.ceil(F.col("n") / SET_BLOCK)})
     # Each text goes to one task for every block of its bucket, its own included.
-    meeting = mixed.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meeting = mixed.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    by = ["bucket", "block", "other"]
     meeting = meeting.select(
-        "bucket", "node", "samples", "component",
-        F.least("block", "_k").alias("block"),
-        F.greatest("block", "_k").alias("other"),
-        F.col("block").alias("side"),
-    )
-    across = meeting.groupBy("bucket", "block", "other").applyInPandas(_alike_across, _PAIR)
-    ordered = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    tested = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    second = written(ordered.join(tested, ["a", "b"], "left_anti"), "more_pairs")
-    if second.limit(1).count():
-        links = links.unionByName(_verified(docs, second, idf))
-        parts = components(links)
+        "bucket", "band", "node", "samples", "component", "side", "keys", "weights",
+        F.least("side", "_k").alias("block"), F.greatest("side", "_k").alias("other"),
+    )
+    more = meeting.repartition(*by).sortWithinPartitions(*by).mapInPandas(_links_across, _PAIR)
+    more = written(more.distinct(), "more_links")
+    if more.limit(1).count():
+        parts = components(links.unionByName(more))
 
     found = rows.select("row", "doc_id", "node").join(parts, "node", "left")
     found = written(found.withColumn("class", F.coalesce("component", "node")), "classes")

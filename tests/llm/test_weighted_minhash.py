@@ -57,6 +57,7 @@ def planted(seed):
 @pytest.mark.parametrize("block", [2048, 2])
 def test_classes_equal_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(wm, "BLOCK", block)
+    monkeypatch.setattr(wm, "SET_BLOCK", block)
     docs = planted(block)
     frame = spark.createDataFrame(
         [(*d, i, "x") for i, d in enumerate(docs)], "doc_id long, text string, row int, node string"
@@ -75,6 +76,32 @@ def test_classes_equal_all_pairs(spark, monkeypatch, block):
     assert sorted((r.doc_id for r in left.collect()), key=lambda x: (x is None, x)) == kept
 
 
+def near_group(seed, n=150):
+    """Many variants of one text, some of them near enough to each other."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(300)]
+    base = rng.choices(words, k=150)
+    docs = []
+    for i in range(n):
+        copy = list(docs[rng.randrange(len(docs))][1].split()) if docs and i % 3 else list(base)
+        for _ in range(rng.randint(1, 5)):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        docs.append((i, " ".join(copy)))
+    return docs
+
+
+@pytest.mark.parametrize("block", [2048, 10])
+def test_a_group_below_and_above_the_threshold(spark, monkeypatch, block):
+    monkeypatch.setattr(wm, "BLOCK", block)
+    monkeypatch.setattr(wm, "SET_BLOCK", block)
+    docs = near_group(8)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    expected = classes(docs, wm.idf_table(frame))
+    assert 1 < len(set(expected)) < 140
+    rows = wm.near_duplicates(frame).collect()
+    assert sorted((r.doc_id, r.class_id) for r in rows) == [(d, c) for (d, _), c in zip(docs, expected)]
+
+
 def test_samples_agree_as_often_as_the_similarity():
     rng = np.random.default_rng(4)
     keys = np.sort(rng.integers(0, 2**63, 400).astype(np.uint64))
