@@ -96,9 +96,14 @@ def resolve_names(
     def rows_per_pair() -> DataFrame:
         return pairs.frame.select(*lookup_keys, "n")
 
-    cands = stage(cands, "candidates").frame
-    wide = stage(ids.join(wide_codes(cands), "id").drop("id"), "wide")
-    report = stage(ids.join(ambiguous_codes(cands), "id").drop("id"), "report")
+    staged = stage(cands, "candidates")
+    cands = staged.frame
+    # At most one row per pair, with the names of the pair and strings of its candidates.
+    source = Staged(cands, staged.rows, staged.size + pairs.size)
+    wide = ids.join(wide_codes(cands), "id").drop("id")
+    wide = stage_unless_small(wide, "wide", source, broadcast_bytes)
+    report = ids.join(ambiguous_codes(cands), "id").drop("id")
+    report = stage(report, "report")
     resolved = attach(names, wide, keys, "left", rows_per_pair, broadcast_bytes)
     ambiguous = attach(names, report, keys, "inner", rows_per_pair, broadcast_bytes)
     stamp = id_source(debug).alias("id_src")

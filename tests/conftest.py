@@ -11,7 +11,8 @@ os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("checkpoints")
     session = (
         SparkSession.builder.master("local[4]")
         .appName("tests")
@@ -19,6 +20,7 @@ def spark():
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", f"file:{folder}")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
