@@ -31,7 +31,9 @@ def search_worms(names: DataFrame, authorities: Authorities, kind: str) -> DataF
         known = authorities.worms_vernacular
         ids = names.join(known, names["name"] == known["vernacular"])
         found = ids.select("name", "aphia_id").distinct().join(taxa, "aphia_id")
-    return found.select(
+    # A repeated line of a snapshot is no second record.
+    records = found.select("name", "aphia_id", "status", "valid_aphia_id", "valid_name").distinct()
+    return records.select(
         "name", F.lit(kind).alias("kind"), "status", "valid_aphia_id", "valid_name"
     )
 
@@ -49,6 +51,7 @@ def best_match(names: DataFrame, authorities: Authorities, kind: str) -> DataFra
     # A least struct is found map-side, so no name's matches are gathered or sorted.
     return (
         names.join(known, names["name"] == known["query"])
+        .distinct()
         .groupBy("name")
         .agg(
             F.min(F.struct(inexact.alias("inexact"), "aphia_id", "pattern_match")).alias("best"),
@@ -85,6 +88,7 @@ def derive_best_match(names: DataFrame, authorities: Authorities, kind: str) ->
             "aphia_id",
         )
         .join(names, "name", "left_semi")
+        .distinct()
         .groupBy("name")
         .agg(
             F.min(F.struct("pattern_match", "aphia_id")).alias("best"),
@@ -101,6 +105,7 @@ def verify_match(matches: DataFrame, authorities: Authorities) -> DataFrame:
     """Add the valid id and name of the matched record; both null unless both exist."""
     taxa = authorities.worms_taxa.select("aphia_id", "valid_aphia_id", "valid_name")
     both = F.col("valid_aphia_id").isNotNull() & F.col("valid_name").isNotNull()
+    taxa = taxa.join(matches.select("aphia_id").distinct(), "aphia_id", "left_semi").distinct()
     found = matches.join(taxa, "aphia_id", "left")
     return found.select(
         *matches.columns,
@@ -185,6 +190,7 @@ def records_of(codes: DataFrame, authorities: Authorities) -> DataFrame:
     links = authorities.xwalk.distinct()
     taxa = authorities.worms_taxa.select("aphia_id", "valid_aphia_id", "valid_name")
     records = links.join(taxa, "aphia_id")
-    return codes.join(records, codes["code"] == records["tsn"], "left").select(
+    found = codes.join(records, codes["code"] == records["tsn"], "left").select(
         "code", "aphia_id", "valid_aphia_id", "valid_name"
     )
+    return found.distinct()

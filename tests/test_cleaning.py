@@ -123,8 +123,13 @@ def test_invert_comma(spark):
 
 # --- the merged rules against every rule on its own, in plain Python ---
 
+# --- fixed values: rank words, removal patterns, and words that make a field useless ---
+_RANKS = (
+    "DOMAIN KINGDOM PHYLUM DIVISION SUBPHYLUM SUBDIVISION CLASS SUBCLASS SUPERORDER ORDER "
+    "SUBORDER FAMILY SUBFAMILY GENUS SPECIES"
+).split()
 _ONE_BY_ONE = [
-    *(rf"\b{w}\b" for w in rules.RANK_WORDS), r"(\(NS\)|\bNS)", r"(-|,|\s)?UNIDENTIFIED.*",
+    *(rf"\b{w}\b" for w in _RANKS), r"(\(NS\)|\bNS)", r"(-|,|\s)?UNIDENTIFIED.*",
     r"(\)|^|-|,|\s)?UNID(EN)?(T?)\.*", r"UNID\. FISH", r"([^']\b[SP]{1,3}\.?$)",
     r"\b[a-zA-Z]{1,2}\.",
 ]
@@ -132,13 +137,29 @@ _OWN = {
     "scientific": [r"\bOBSOLETE\b", r"\bUNIDENTIFIED\b", r"\(.*?\)"],
     "common": [r"\(", r"\)"],
 }
+_USELESS = [
+    "BAIT", "DIGESTED", "NIDENTIFIED PER", "UNIDENTIFIED SPECIES", "UNID (FISH|REMAINS)+",
+    "REMAINS", "SURVEY", "FSRS -", "RESERVED", "PURSE", "INVERTEBRATE", "EGG(S?)",
+    "INORGANIC DEBRIS", "MIXED", "MUCUS", "OPERCULUM", "FLUID", "LARVAE", "AND",
+]
+_USELESS_SCIENTIFIC = [
+    "WHALE", "CRAB", "LOBSTER", "SHRIMP", "IRISH MOSS", "SHARK", "COD WORM", "CORALS", "SKATE",
+    "FINFISHES", "GROUNDFISH", "PELAGIC FISH", "SAND TUBE",
+]
+
+
+def useless(text, kind):
+    words = _USELESS + (_USELESS_SCIENTIFIC if kind == "scientific" else [])
+    if any(re.search(rf"\b{w}\b", text) for w in words):
+        return True
+    return "ETC" in text or text in ("FISH", "WATER", "SHARK", "SAND")
 
 
 def naive(text, kind):
     if text is None:
         return None
     text = text.upper()
-    if re.search(rules.drops(kind).replace(r"\z", r"\Z"), text):
+    if useless(text, kind):
         return None
     for rule in _ONE_BY_ONE + _OWN[kind]:
         text = re.sub(rule, "", text, flags=re.S)

@@ -254,7 +254,7 @@ def test_a_tsn_with_several_records_leaves_the_aphiaid_to_the_common_name(spark)
 
 def test_repeated_snapshot_lines_change_nothing(spark):
     world, rows = random_world(11)
-    twice = {**world, **{n: world[n] * 2 for n in world if n != "worms_taxa"}}
+    twice = {n: lines * 2 for n, lines in world.items()}
     df = spark.createDataFrame(rows, NAMES)
     one, two = (as_sets(resolve_names(df, snapshots(spark, **w), "sci", "comm")) for w in (world, twice))
     assert one == two
