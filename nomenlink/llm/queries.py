@@ -11,6 +11,7 @@ from . import (
     fertility,
     lattice_sampling,
     line_crf,
+    oracles,
     packing,
     rank_profiles,
     suffix_dedup,
@@ -100,4 +101,9 @@ QUERIES: dict[str, Query] = {
 }
 
 # The others have no SQL form; tests hold them against brute force or held-out labels.
-ORACLES: dict[str, str] = {"op2_url_markov": url_markov.oracle(RULES)}
+ORACLES: dict[str, str] = {
+    "op1_cover_tree": oracles.COVER_TREE,
+    "op2_url_markov": url_markov.oracle(RULES),
+    "op5_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op6_weighted_minhash": oracles.WEIGHTED_MINHASH,
+}

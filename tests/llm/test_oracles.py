@@ -1,0 +1,25 @@
+"""Queries against their SQL on the smallest tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from nomenlink.llm.queries import ORACLES, QUERIES
+
+FOLDER = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(spark, name):
+    connection = duckdb.connect()
+    for table in ("documents", "embeddings", "pages"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
+    cursor = connection.execute(ORACLES[name])
+    columns = sorted(d[0] for d in cursor.description)
+    at = [[d[0] for d in cursor.description].index(c) for c in columns]
+    expected = sorted(str(tuple(r[i] for i in at)) for r in cursor.fetchall())
+    frame = QUERIES[name](spark, FOLDER)
+    assert sorted(frame.columns) == columns
+    assert sorted(str(tuple(r)) for r in frame.select(*columns).collect()) == expected
