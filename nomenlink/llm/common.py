@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,45 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+# What a worker remembers and can load or compute again.
+_REMEMBERED: list[Callable[[], None]] = []
+
+
+def remembered(load: Callable) -> Callable:
+    """Cache the results of a function until the end of a worker's partition."""
+    cached = functools.cache(load)
+    _REMEMBERED.append(cached.cache_clear)
+    return cached
+
+
+def forget_with(clear: Callable[[], None]) -> None:
+    """Call this at the end of a worker's partition."""
+    _REMEMBERED.append(clear)
+
+
+def tidy(run: Callable) -> Callable:
+    """Let a function over batches give its memory back when its partition is done.
+
+    Spark reuses Python workers, and what one stage remembers, or its allocator keeps,
+    would count against the next one.
+    """
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for clear in _REMEMBERED:
+                clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write a step to the cluster's shared folder and read it back.
 
