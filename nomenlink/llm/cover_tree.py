@@ -42,7 +42,7 @@ THRESHOLD = 0.95
 FIT_ROWS = 4096
 MAX_CELLS = 512
 # Vectors of a block, and on average of a cell.
-BLOCK = 2048
+BLOCK = 4096
 # Slack for rounding in the bounds; single vectors have none.
 SLACK = 1e-7
 _BATCH = 2048
