@@ -20,7 +20,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vocabularies as voc
-from .common import small_batches, written
+from .common import remembered, small_batches, tidy, written
 
 MIN_WORDS = 50
 # Percent of the words that may lie in repeated windows.
@@ -89,7 +88,7 @@ def main_script(letters: dict[str, int]) -> str:
     return min(found, key=lambda s: (-found[s], s)) if found else "NONE"
 
 
-@cache
+@remembered
 def known_characters(folder: str | None = None) -> frozenset[str]:
     """Characters that are pieces; no text of these alone needs a byte piece."""
     pieces = voc.pieces(folder)
@@ -151,6 +150,7 @@ def measured(text: Column, folder: str | None = None) -> Column:
     schema = T.StructType.fromDDL(_SCHEMA)
 
     @F.pandas_udf(schema)
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = pd.DataFrame([measure_text(t, folder) for t in batch], columns=schema.names)

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches
+from .common import mix64, small_batches, tidy
 from .vocabularies import pieces
 
 ALPHA = 1.0
@@ -283,6 +283,7 @@ def encode(
     """Sampled piece ids as little-endian unsigned 32-bit numbers in a binary value."""
 
     @F.pandas_udf("binary")
+    @tidy
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         vocab = vocabulary(folder, alpha)
         for texts, keys in batches:
@@ -299,6 +300,7 @@ def decode(ids: Column, folder: str | None = None) -> Column:
     """The texts of values that ``encode`` gives."""
 
     @F.pandas_udf("string")
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vocab = vocabulary(folder, ALPHA)
         for batch in batches:

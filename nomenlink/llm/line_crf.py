@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, may_learn, small_batches
+from .common import is_held_out, may_learn, small_batches, tidy
 
 # The bound of the training sample, in labelled documents.
 FIT_ROWS = 6000
@@ -284,6 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     # Broadcast is bounded by fit_rows.
     sample = own.join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality")
 
+    @tidy
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             lines = line_features(batch["text"].tolist())
@@ -323,6 +324,7 @@ def score_quality(
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
+    @tidy
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(scores(model, batch.tolist()))

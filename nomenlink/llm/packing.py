@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_id, small_batches, with_key, written
+from .common import doc_id, small_batches, tidy, with_key, written
 from .vocabularies import encode_ids
 
 CAPACITY = 2048
@@ -272,6 +272,7 @@ def token_pieces(
     small_batches(docs.sparkSession)
     keyed = with_key(docs, "text")
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)

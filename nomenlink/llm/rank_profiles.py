@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import is_held_out, may_learn, small_batches
+from .common import is_held_out, may_learn, small_batches, tidy
 
 # An n-gram is a number of 16 bits per character and a mark, so three are the most.
 LONGEST = 3
@@ -105,6 +105,7 @@ def learn(docs: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
     """
     small_batches(docs.sparkSession)
 
+    @tidy
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         size = 0
@@ -183,6 +184,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(profiles)
         for batch in batches:

@@ -19,20 +19,19 @@ and ids give rows of their own.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_id, small_batches, with_key
+from .common import doc_id, remembered, small_batches, tidy, with_key
 from .vocabularies import byte_bpe, byte_ranks, encode_ids
 
 RULES = ("most", "first", "last")
 
 
-@cache
+@remembered
 def token_lengths(folder: str | None = None) -> np.ndarray:
     """Number of bytes of each token id."""
     ranks = byte_ranks(folder)
@@ -130,6 +129,7 @@ def count_by_section(
     small_batches(docs.sparkSession)
     keyed = with_key(docs, "text").where("text is not null")
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, out = [], []
@@ -173,6 +173,7 @@ def count_by_field(
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("array<long>")
+    @tidy
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
             out = []

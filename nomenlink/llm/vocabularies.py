@@ -1,14 +1,15 @@
-"""Public vocabularies, loaded once per Python worker; their folder is a parameter."""
+"""Public vocabularies, loaded once per partition; their folder is a parameter."""
 
 from __future__ import annotations
 
 import base64
 import os
 import re
-from functools import cache
 
 import numpy as np
 
+from .common import remembered
+
 BYTE_BPE = "byte_bpe_50k"
 PIECES = "piece_bpe_32k"
 
@@ -24,7 +25,7 @@ def _file(name: str, folder: str | None) -> str:
     return os.path.join(folder or default_folder(), name)
 
 
-@cache
+@remembered
 def byte_bpe(folder: str | None = None):
     """The reference tokenizer of the byte-level vocabulary."""
     from tokenizers import Tokenizer
@@ -32,7 +33,7 @@ def byte_bpe(folder: str | None = None):
     return Tokenizer.from_file(_file(f"{BYTE_BPE}.json", folder))
 
 
-@cache
+@remembered
 def byte_ranks(folder: str | None = None):
     """The same vocabulary as ranks, which encode several times faster."""
     import public_tokenizers
@@ -45,7 +46,7 @@ def byte_ranks(folder: str | None = None):
     )
 
 
-@cache
+@remembered
 def pieces(folder: str | None = None):
     """The piece vocabulary with byte fallback."""
     import sentencepiece

@@ -40,7 +40,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_id, mix64, small_batches, sorted_groups, with_key, written
+from .common import (
+    doc_id,
+    forget_with,
+    mix64,
+    small_batches,
+    sorted_groups,
+    tidy,
+    with_key,
+    written,
+)
 from .components import components
 
 SHINGLE = 5
@@ -60,7 +69,9 @@ TABLE_WORDS = 500_000
 BROADCAST_BYTES = 16 << 20
 
 _SAMPLES = BANDS * ROWS
-_REMEMBERED = 300_000
+# Words that a worker remembers the hashes of, and words that it holds to count.
+_REMEMBERED = 100_000
+_COUNTED = 1_000_000
 _ENTRIES = 1 << 16
 
 
@@ -75,6 +86,7 @@ class _WordHashes(dict):
 
 
 _HASHES = _WordHashes()
+forget_with(_HASHES.clear)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -106,6 +118,7 @@ def idf_table(docs: DataFrame) -> Idf:
     """
     small_batches(docs.sparkSession)
 
+    @tidy
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
         size = n_docs = 0
@@ -120,7 +133,7 @@ def idf_table(docs: DataFrame) -> Idf:
                 n_docs += len(own) > 0
                 held.append(own)
                 size += len(own)
-            if size > 4_000_000:
+            if size > _COUNTED:
                 yield told()
                 held, size = [], 0
         if held:
@@ -234,6 +247,7 @@ def _node(hashes: np.ndarray) -> bytes:
 
 
 @F.pandas_udf(T.BinaryType())
+@tidy
 def _node_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         hashes = [word_hashes(t) for t in batch]
@@ -244,6 +258,7 @@ def _signatures(docs: DataFrame, idf) -> DataFrame:
     """``doc_id, node, bands, samples``; null but for the id where a text has no word."""
     keyed = with_key(docs, "text")
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sampler = Sampler()
         for batch in batches:
@@ -281,6 +296,7 @@ def _matrix(samples: np.ndarray) -> np.ndarray:
 _PAIR = "a binary, b binary"
 
 
+@tidy
 def _best_before(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pair each text of a bucket block with the one before that agrees most with it."""
     pairs: list[tuple[bytes, bytes]] = []
@@ -297,6 +313,7 @@ def _best_before(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(set(pairs), columns=["a", "b"])
 
 
+@tidy
 def _links_across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links between components of a bucket, within one block or between two.
 
@@ -343,6 +360,7 @@ def _shingle_sets(keyed: DataFrame, wanted: DataFrame, idf) -> DataFrame:
     ``wanted`` has ``node, absent, id``, the key of a row that has the node.
     """
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             nodes, keys, weights = [], [], []
@@ -367,6 +385,7 @@ def _shingle_sets(keyed: DataFrame, wanted: DataFrame, idf) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs of at least the threshold."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
@@ -464,22 +483,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents without all but one row of each class; all columns stay."""
+    decided = written(with_key(near_duplicates(docs), "node", "kept"), "decided")
+    kept = decided.where("kept")
     # The columns travel in a struct, so that no name can clash.
     keyed = with_key(docs, F.col("text").alias("text"), F.struct(*docs.columns).alias("rest"))
+    key = ["absent", "id"]
+    if not decided.groupBy(*key).count().where("count > 1").limit(1).count():
+        # Ids are unique, so they tell which rows stay.
+        ids = kept.select(*key)
+        small = ids.count() * 32 <= BROADCAST_BYTES
+        return keyed.join(F.broadcast(ids) if small else ids, key, "left_semi").select("rest.*")
+
     keyed = keyed.withColumn("node", _node_of("text"))
-    kept = near_duplicates(docs).where("kept and node is not null")
-    kept = written(kept.select(F.col("doc_id"), F.col("node")), "kept")
-    kept = with_key(kept, "node")
     alone = keyed.where("node is null").select("rest.*")
-    ours = keyed.where("node is not null").join(kept, ["absent", "id", "node"])
+    key.append("node")
+    ours = keyed.where("node is not null").join(kept.where("node is not null").select(*key), key)
     # Rows of equal id and words are the only ones left to choose from.
-    again = written(
-        ours.groupBy("absent", "id", "node").count().where("count > 1").drop("count"), "repeated"
-    )
+    again = written(ours.groupBy(*key).count().where("count > 1").drop("count"), "repeated")
     if again.limit(1).count():
-        once = ours.join(again, ["absent", "id", "node"], "left_anti")
-        more = ours.join(again, ["absent", "id", "node"], "left_semi")
-        order = Window.partitionBy("absent", "id", "node").orderBy("text")
-        more = more.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
-        ours = once.unionByName(more)
+        order = Window.partitionBy(*key).orderBy("text")
+        more = ours.join(again, key, "left_semi").withColumn("nth", F.row_number().over(order))
+        ours = ours.join(again, key, "left_anti").unionByName(more.where("nth = 1").drop("nth"))
     return ours.select("rest.*").unionByName(alone)
