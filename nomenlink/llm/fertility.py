@@ -10,9 +10,13 @@ reject short and repetitive texts before.
 Words are runs without ASCII white space.
 
 Defined results: a null or wordless text has zero counts and null measures and fails the
-base rules. A band comes from all texts of its group that pass the base rules. It has a
-least width, wider for few texts, as their quartiles are uncertain; an octave of very few
-texts has the band of its language or script.
+base rules. A band comes from all distinct texts of its group that pass the base rules, so
+copies count once. Each source of enough texts gives quartiles of its own, the smaller
+sources share some, and the band is built on the medians of these, so that no single source
+moves it; without a column ``source`` all texts are of one. A band has a least width, wider
+for few texts, as their quartiles are uncertain; an octave of very few texts, or of fewer
+sources than a median needs where the language has more, has the band of its language or
+script.
 """
 
 from __future__ import annotations
@@ -33,12 +37,15 @@ from .common import remembered, small_batches, tidy, written
 MIN_WORDS = 50
 # Percent of the words that may lie in repeated windows.
 MAX_REPEAT = 50
-# A band reaches so many interquartile ranges beyond the quartiles,
-REACH = 6.0
+# A band reaches so many interquartile ranges beyond the quartiles (the usual outer fence),
+REACH = 3.0
 # and at least so far from the median,
 LEAST = {"chars_per_token": 0.15, "fallback_share": 0.05, "entropy": 0.5}
-# of which a group of this many texts adds one more; fewer texts have no band of their own.
+# of which a group of this many texts adds one more; fewer texts have no band of their own,
+# nor fewer texts of a source quartiles of their own.
 FEW = 20
+# Medians of fewer quartiles than this can be moved by one source.
+VOTERS = 3
 MEASURES = tuple(LEAST)
 # Bands are broadcast up to this number; a language of one's own for every text is not.
 MAX_BANDS = 10_000
@@ -168,35 +175,85 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT * n_words)
 
 
-def bands(measured: DataFrame, *keys: str) -> DataFrame:
-    """Per group the lowest and highest accepted value of each measure, and its size ``n``.
+def _joinable(few: DataFrame) -> DataFrame:
+    return F.broadcast(few) if few.count() <= MAX_BANDS else few
 
-    ``measured`` has the keys, ``base_failed`` and the measures. The quartiles come from
-    mergeable sketches, so a language of any size is never gathered.
+
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """One row per distinct text of a band that passes the base rules.
+
+    ``rows`` has ``band``, ``octave``, ``source``, ``text_key``, ``base_failed`` and the
+    measures. A text of several sources goes to one of them, picked by hash so that copied
+    texts do not all go to the same.
+    """
+    good = rows.where(~F.col("base_failed"))
+    picked = F.min_by("source", F.xxhash64("source", "text_key")).alias("source")
+    return good.groupBy("band", "octave", "text_key", *MEASURES).agg(picked)
+
+
+def _voters(texts: DataFrame, *keys: str) -> DataFrame:
+    """The voter that each source of a group belongs to.
+
+    A source of ``FEW`` texts is one by itself. The smaller ones are dealt by hash to voters
+    of about so many texts.
     """
-    out = measured.where(~F.col("base_failed")).groupBy(*keys)
-    quartiles = out.agg(
+    sources = written(texts.groupBy(*keys, "source").agg(F.count(F.lit(1)).alias("of_source")), "sources")
+    own = F.col("of_source") >= FEW
+    small = F.sum(F.when(own, 0).otherwise(F.col("of_source")))
+    parts = sources.groupBy(*keys).agg(F.greatest(F.lit(1), F.floor(small / FEW)).alias("parts"))
+    dealt = F.concat(F.lit("part "), F.expr("pmod(xxhash64(source), parts)").cast("string"))
+    voter = F.when(own, F.concat(F.lit("source "), "source")).otherwise(dealt)
+    return sources.join(parts, list(keys)).select(*keys, "source", voter.alias("voter"))
+
+
+def bands(texts: DataFrame, *keys: str) -> DataFrame:
+    """Per group the lowest and highest accepted value of each measure, its size ``n``, and
+    its number of ``voters``.
+
+    ``texts`` has the keys, ``source`` and the measures, one row per distinct text. The
+    quartiles come from mergeable sketches, so a language of any size is never gathered.
+    """
+    voters = written(_voters(texts, *keys), "voters")
+    votes = texts.join(_joinable(voters), [*keys, "source"]).groupBy(*keys, "voter")
+    votes = votes.agg(
         F.count(F.lit(1)).alias("n"),
         *(F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(c) for c in MEASURES),
     )
+    # The quartiles of a handful of texts only count where the group has no more.
+    sure = F.col("n") >= FEW // 2
+    size = F.sum("n").alias("n")
+    sure_votes = F.sum(sure.cast("int")).alias("voters")
+    places = [(c, i) for c in MEASURES for i in range(3)]
+    # Nulls do not count; the second of each pair serves groups without a sure vote.
+    mids = [F.percentile_approx(F.when(sure, F.col(c)[i]), 0.5, 10_000).alias(f"{c}_{i}") for c, i in places]
+    rest = [F.percentile_approx(F.col(c)[i], 0.5, 10_000).alias(f"{c}_{i}_any") for c, i in places]
+    quartiles = votes.groupBy(*keys).agg(size, sure_votes, *mids, *rest)
     edges = []
     for c in MEASURES:
-        low, mid, high = (F.col(c)[i] for i in range(3))
+        low, mid, high = (
+            F.when(F.col("voters") > 0, F.col(f"{c}_{i}")).otherwise(F.col(f"{c}_{i}_any")) for i in range(3)
+        )
         reach = REACH * (high - low)
         least = LEAST[c] * (1 + FEW / F.col("n"))
         edges += [
             F.least(low - reach, mid - least).alias(f"{c}_low"),
             F.greatest(high + reach, mid + least).alias(f"{c}_high"),
         ]
-    return quartiles.select(*keys, "n", *edges)
+    return quartiles.select(*keys, "n", "voters", *edges)
 
 
 def _limits(rows: DataFrame) -> DataFrame:
     """Bands by language or script and octave; octaves of few texts have the band of all."""
-    of_all = bands(rows, "band").drop("n")
-    own = bands(rows, "band", "octave").where(F.col("n") >= FEW).drop("n")
-    edges = [c for c in own.columns if c not in ("band", "octave")]
-    octaves = rows.where(~F.col("base_failed")).select("band", "octave").distinct()
+    texts = written(distinct_texts(rows), "texts")
+    of_all = written(bands(texts, "band").drop("n"), "bands")
+    own = bands(texts, "band", "octave").where(F.col("n") >= FEW).drop("n")
+    edges = [c for c in own.columns if c not in ("band", "octave", "voters")]
+    # An octave of one or two sources tells nothing of a language that has more.
+    enough = F.least(F.col("voters_of_all"), F.lit(VOTERS))
+    own = own.join(of_all.select("band", F.col("voters").alias("voters_of_all")), "band")
+    own = own.where(F.col("voters") >= enough).drop("voters", "voters_of_all")
+    of_all = of_all.drop("voters")
+    octaves = texts.select("band", "octave").distinct()
     joined = octaves.join(own, ["band", "octave"], "left")
     joined = joined.join(of_all.withColumnsRenamed({c: f"all_{c}" for c in edges}), "band")
     return joined.select(
@@ -212,7 +269,14 @@ def _judged(docs: DataFrame, folder: str | None, *columns: Column | str) -> Data
     The measures are written once, as the bands and the verdicts both read them.
     """
     small_batches(docs.sparkSession)
-    found = docs.select(*columns, "lang", measured(F.col("text"), folder).alias("found"))
+    source = F.col("source").cast("string") if "source" in docs.columns else F.lit("")
+    found = docs.select(
+        F.struct(*columns).alias("given"),
+        "lang",
+        F.coalesce(source, F.lit("")).alias("source"),
+        F.xxhash64("text").alias("text_key"),
+        measured(F.col("text"), folder).alias("found"),
+    )
     rows = found.select("*", F.coalesce("lang", "found.script").alias("band"), "found.*")
     rows = written(rows.drop("found", "lang"), "measured")
     rows = rows.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
@@ -222,9 +286,9 @@ def _judged(docs: DataFrame, folder: str | None, *columns: Column | str) -> Data
         inside &= F.col(c).between(F.col(f"{c}_low"), F.col(f"{c}_high"))
     same = (F.col("band") == F.col("_band")) & (F.col("octave") == F.col("_octave"))
     # A few dozen rows per language or script, whatever the number of documents.
-    joined = rows.join(F.broadcast(limits) if limits.count() <= MAX_BANDS else limits, same, "left")
+    joined = rows.drop("source", "text_key").join(_joinable(limits), same, "left")
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return joined.withColumn("kept", kept)
+    return joined.withColumn("kept", kept).select("given.*", *(c for c in joined.columns if c != "given"), "kept")
 
 
 def judge(docs: DataFrame, folder: str | None = None) -> DataFrame:
