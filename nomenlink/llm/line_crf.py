@@ -21,10 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, may_learn, small_batches, tidy
+from .common import is_held_out, may_learn, small_batches, tidy, written
 
-# The bound of the training sample, in labelled documents.
+# The bounds of the training sample: labelled documents, lines of all of them, and lines of
+# one, so that no long document takes the place of the others.
 FIT_ROWS = 6000
+FIT_ALL_LINES = 400_000
+FIT_OWN_LINES = 4000
 # Training cuts long chains into pieces of this many lines; scoring never does.
 FIT_LINES = 64
 FIT_STEPS = 200
@@ -268,8 +271,11 @@ def scores(model: Model, texts: list[str | None]) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Fit on a bounded sample of labelled documents that are not held out.
 
-    The sample has the ``fit_rows`` ids of lowest hash, at most. Workers make the line
-    features; only the features of the sample reach the driver.
+    The sample has the ``fit_rows`` ids of lowest hash, at most, of those with a label and a
+    text with a word, and one text of each, that of the lowest hash. The first
+    ``FIT_OWN_LINES`` lines of a text count, and ids in order of hash up to
+    ``FIT_ALL_LINES`` lines. Workers make the line features; only those of the sample reach
+    the driver.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -277,34 +283,45 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
         labels.where(F.col("quality").isin(0, 1) & may_learn(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.avg("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(fit_rows)
     )
-    own = docs.select("doc_id", F.col("text").alias("text"))
+    own = docs.select("doc_id", "text").where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
+    # An id that many rows share is one row before it meets the labels.
+    known = known.join(own.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     # Broadcast is bounded by fit_rows.
-    sample = own.join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality")
+    sample = own.join(F.broadcast(known), "doc_id").groupBy("doc_id")
+    sample = sample.agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("quality").alias("quality"))
 
     @tidy
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             lines = line_features(batch["text"].tolist())
-            ends = np.cumsum(lines.per_text)
+            starts = np.cumsum(lines.per_text) - lines.per_text
+            kept = np.minimum(lines.per_text, FIT_OWN_LINES)
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"],
                     "quality": batch["quality"],
+                    "lines": kept,
                     "f": [
-                        lines.features[e - k : e].astype(np.float32).tobytes()
-                        for e, k in zip(ends, lines.per_text)
+                        lines.features[a : a + k].astype(np.float32).tobytes()
+                        for a, k in zip(starts, kept)
                     ],
                     "n": [
-                        lines.lengths[e - k : e].astype(np.float32).tobytes()
-                        for e, k in zip(ends, lines.per_text)
+                        lines.lengths[a : a + k].astype(np.float32).tobytes()
+                        for a, k in zip(starts, kept)
                     ],
                 }
             )
 
-    rows = sample.mapInPandas(features, "doc_id long, quality double, f binary, n binary").collect()
+    schema = "doc_id long, quality double, lines long, f binary, n binary"
+    made = written(sample.mapInPandas(features, schema), "features")
+    order = made.select("doc_id", "lines", F.xxhash64("doc_id").alias("hash")).collect()
+    order.sort(key=lambda r: (r.hash, r.doc_id))
+    fits = np.cumsum([r.lines for r in order]) <= FIT_ALL_LINES
+    # A table of ids, not a list in the plan.
+    chosen = spark.createDataFrame([(r.doc_id,) for r, fit_in in zip(order, fits) if fit_in], "doc_id long")
+    rows = made.join(F.broadcast(chosen), "doc_id", "left_semi").collect()
     rows.sort(key=lambda r: (r.doc_id, r.n, r.f))
     if not rows:
         return fit(line_features([]), np.zeros(0))

@@ -104,3 +104,24 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     rows = op7_line_crf(spark, FOLDER).where("held_out").join(labels, "doc_id")
     assert rows.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.98
+
+
+def test_the_sample_is_of_labelled_texts_and_bounded_in_lines(spark, monkeypatch):
+    """Ids without a text take no place, repeated ids count once, and lines are bounded."""
+    good, bad = "A calm line of words.\n" * 30, "BUY NOW!! $$$ ###\n" * 30
+    docs = [(i, good if i % 2 else bad) for i in range(200)]
+    learning = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    many = spark.createDataFrame(docs + [docs[learning[0]]] * 300, "doc_id long, text string")
+    labels = spark.createDataFrame(
+        [(i, i % 2) for i in range(200)] + [(i, i % 2) for i in range(1000, 9000)], "doc_id long, quality int"
+    )
+    seen = []
+    fit = lc.fit
+    monkeypatch.setattr(lc, "fit", lambda lines, *rest: seen.append(lines.per_text) or fit(lines, *rest))
+    model = lc.train(many, labels, fit_rows=40)
+    assert len(seen[0]) == 40 and set(seen[0]) == {30}
+    assert lc.scores(model, [good])[0] > 0.7 > lc.scores(model, [bad])[0]
+    monkeypatch.setattr(lc, "FIT_OWN_LINES", 20)
+    monkeypatch.setattr(lc, "FIT_ALL_LINES", 610)
+    lc.train(many, labels)
+    assert len(seen[1]) == 30 and set(seen[1]) == {20}
