@@ -17,8 +17,8 @@ that agree on a whole band meet in a bucket. A bucket proposes pairs in two pass
    give back the links that connect components, not the pairs.
 
 Every link is verified by the exact weighted Jaccard similarity of whole texts. A pair of
-0.8 exactly misses every band with a probability of 0.0002 and falls below ``ALIKE`` with
-one of 0.0001; both fall steeply above. Large buckets are worked on in blocks; nothing is
+0.8 exactly misses every band with a probability of 0.0002 and shares one but falls below
+``ALIKE`` with one of 0.00004; both fall steeply above. Large buckets are worked on in blocks; nothing is
 capped.
 
 Texts of equal word sequences are one node from the start, whatever their number.
