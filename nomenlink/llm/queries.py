@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (
     cover_tree,
     fertility,
     lattice_sampling,
     line_crf,
+    merkle_manifest,
     oracles,
     packing,
     rank_profiles,
@@ -84,6 +86,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether a tampered copy verifies."""
+    docs = table(spark, sf_dir, "documents")
+    claim = {"text": merkle_manifest.tampered_text(F.col("doc_id"), F.col("text"))}
+    return merkle_manifest.manifest(docs, claim)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -97,6 +106,7 @@ QUERIES: dict[str, Query] = {
         op8_rank_profiles,
         op9_lattice_sampling,
         op10_packing,
+        op11_merkle_manifest,
     )
 }
 
@@ -106,4 +116,5 @@ ORACLES: dict[str, str] = {
     "op2_url_markov": url_markov.oracle(RULES),
     "op5_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op6_weighted_minhash": oracles.WEIGHTED_MINHASH,
+    "op11_merkle_manifest": oracles.MERKLE_MANIFEST,
 }
