@@ -68,14 +68,15 @@ def tidy(run: Callable) -> Callable:
     return tidied
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, **options: int) -> DataFrame:
     """Write a step to the cluster's shared folder and read it back.
 
-    This cuts lineage, survives lost executors, and makes generated ids stable.
+    This cuts lineage, survives lost executors, and makes generated ids stable. ``options``
+    are those of the Parquet writer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/nomenlink-llm/{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -164,3 +164,45 @@ folded AS (
   LEFT JOIN proofs USING (r))
 SELECT *, folded_root = root AS verified FROM folded
 """
+
+_NEAREST = """
+near{i} AS (
+  SELECT r, p, arg_min(k, (d, k)) AS k, min(d) AS d FROM (
+    SELECT r, p, k, list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i]))) AS d
+    FROM pieces x JOIN books{i} b USING (p)) GROUP BY r, p),"""
+_MOVED = """
+books{j} AS (
+  SELECT p, k, coalesce(m.v, b.v) AS v FROM books{i} b LEFT JOIN (
+    SELECT p, k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+      SELECT p, k, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n
+      FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM near{i} JOIN pieces USING (r, p)) GROUP BY p, k, i)
+    GROUP BY p, k) m USING (p, k)),"""
+# 16 parts, 64 entries, two rounds, as the task states them.
+CODE_COMPRESSION = (
+    """
+WITH usable AS (
+  SELECT row_number() OVER () AS r, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE len(embedding) = (SELECT mode(len(embedding)) FROM embeddings)
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pieces AS (
+  SELECT r, p, list_slice(q, p * w + 1, p * w + w) AS v
+  FROM (SELECT r, q, len(q) // 16 AS w, unnest(range(16)) AS p FROM usable)),
+books0 AS (
+  SELECT p, k, v FROM pieces JOIN (
+    SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM usable) USING (r) WHERE k < 64),"""
+    + _NEAREST.format(i=0) + _MOVED.format(i=0, j=1)
+    + _NEAREST.format(i=1) + _MOVED.format(i=1, j=2)
+    + _NEAREST.format(i=2)
+    + """
+coded AS (
+  SELECT r, lower(string_agg(printf('%02x', k), '' ORDER BY p)) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM near2 GROUP BY r),
+named AS (SELECT vec_id, label, code, error FROM coded JOIN usable USING (r)),
+hashed AS (
+  SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM books2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  codebooks_sha256 FROM named, hashed
+"""
+)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    code_compression,
     cover_tree,
     fertility,
     lattice_sampling,
@@ -93,6 +94,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(docs, claim)
 
 
+def op13_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes, errors and codebooks of all embeddings."""
+    return code_compression.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -107,6 +113,7 @@ QUERIES: dict[str, Query] = {
         op9_lattice_sampling,
         op10_packing,
         op11_merkle_manifest,
+        op13_code_compression,
     )
 }
 
@@ -117,4 +124,5 @@ ORACLES: dict[str, str] = {
     "op5_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op6_weighted_minhash": oracles.WEIGHTED_MINHASH,
     "op11_merkle_manifest": oracles.MERKLE_MANIFEST,
+    "op13_code_compression": oracles.CODE_COMPRESSION,
 }
