@@ -14,6 +14,7 @@ from . import (
     lattice_sampling,
     line_crf,
     merkle_manifest,
+    nearest_examples,
     oracles,
     packing,
     rank_profiles,
@@ -94,6 +95,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(docs, claim)
 
 
+def op12_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document from its nearest labelled examples."""
+    return nearest_examples.classify(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
 def op13_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes, errors and codebooks of all embeddings."""
     return code_compression.digest(table(spark, sf_dir, "embeddings"))
@@ -113,6 +121,7 @@ QUERIES: dict[str, Query] = {
         op9_lattice_sampling,
         op10_packing,
         op11_merkle_manifest,
+        op12_nearest_examples,
         op13_code_compression,
     )
 }
