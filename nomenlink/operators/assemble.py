@@ -24,6 +24,10 @@ WIDE_COLUMNS = tuple(
 )
 FLAG_COLUMNS = tuple(f"{t.lower()}_multi_flag" for t in (APHIAID, TSN))
 REPORT_COLUMNS = ("code_sugg", *CODE_COLUMNS[1:])
+# The answer to a row's names, while both results are put together.
+ANSWER = "_nomenlink_answer"
+# Ambiguous candidates that an answer lists; of names with more they are joined.
+LISTED = 1000
 
 
 class Resolved(NamedTuple):
@@ -42,6 +46,10 @@ def id_source(debug: bool = False) -> Column:
 
 def wide_codes(cands: DataFrame) -> DataFrame:
     """One row per id: the code columns of both types, null and flagged if ambiguous."""
+    return cands.groupBy("id").agg(*_wide_aggregates())
+
+
+def _wide_aggregates() -> list[Column]:
     outputs, flags = [], []
     for code_type in (APHIAID, TSN):
         mine = F.col("code_type") == code_type
@@ -50,7 +58,27 @@ def wide_codes(cands: DataFrame) -> DataFrame:
             value = F.max(F.when(mine, F.col(column)))
             outputs.append(F.when(n == 1, value).alias(code_type.lower() + suffix))
         flags.append((n > 1).alias(f"{code_type.lower()}_multi_flag"))
-    return cands.groupBy("id").agg(*outputs, *flags)
+    return [*outputs, *flags]
+
+
+def answers(cands: DataFrame, listed: int = LISTED) -> DataFrame:
+    """One row per id: ``wide_codes``, and its ambiguous candidates as the list ``report``.
+
+    An id with more than ``listed`` of them has no list and ``unlisted`` set; its candidates
+    are to be joined, so that no list grows with the authorities.
+    """
+    several = [F.when(F.col(f), F.col(f"_{f}")).otherwise(0) for f in FLAG_COLUMNS]
+    counts = [
+        count_if(F.col("code_type") == t).alias(f"_{f}") for t, f in zip((APHIAID, TSN), FLAG_COLUMNS)
+    ]
+    wide = cands.groupBy("id").agg(*_wide_aggregates(), *counts).withColumn("_n", sum(several))
+    listable = wide.where(F.col("_n").between(1, listed)).select("id", *FLAG_COLUMNS)
+    mine = F.when(F.col("code_type") == APHIAID, F.col(FLAG_COLUMNS[0])).otherwise(F.col(FLAG_COLUMNS[1]))
+    entries = cands.join(listable, "id").where(mine).withColumnRenamed("code", "code_sugg")
+    lists = entries.groupBy("id").agg(F.collect_list(F.struct(*REPORT_COLUMNS)).alias("report"))
+    return wide.join(lists, "id", "left").select(
+        "id", *WIDE_COLUMNS, *FLAG_COLUMNS, "report", (F.col("_n") > listed).alias("unlisted")
+    )
 
 
 def ambiguous_codes(cands: DataFrame) -> DataFrame:
@@ -66,7 +94,7 @@ def with_flags(wide: DataFrame) -> DataFrame:
 
 def check_names_free(df: DataFrame) -> None:
     """The result columns must not hide columns of the input."""
-    reserved = {*WIDE_COLUMNS, *FLAG_COLUMNS, *REPORT_COLUMNS, "id_src"}
+    reserved = {*WIDE_COLUMNS, *FLAG_COLUMNS, *REPORT_COLUMNS, "id_src", ANSWER}
     taken = sorted(c for c in df.columns if c.lower() in reserved)
     if taken:
         raise ValueError(f"the input has columns of the result: {taken}")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import Staged, stage
+from ..sources.staging import Staged, stage, written
 
 # A lookup is broadcast only up to this measured size.
 BROADCAST_BYTES = 32 << 20
@@ -38,6 +38,10 @@ def attach(
     names and ``n``): a key with more rows than a mean shuffle partition is dealt out to
     as many partitions as its rows would fill, and its part of the lookup is repeated in
     each. Fewer keys than there are partitions can be that hot, whatever their size.
+
+    The share of a row comes from a number written with it. So a task that runs again
+    after a loss deals the same rows to the same shares, in whatever order it gets them,
+    and equal rows have shares of their own.
     """
     if lookup.size <= broadcast_bytes:
         return _joined(rows, F.broadcast(lookup.frame), keys, how)
@@ -54,16 +58,25 @@ def attach(
     # One hash and one number for each hot key, so at most sixteen bytes per partition.
     shares = F.broadcast(hot.frame)
     one = F.coalesce("_shares", F.lit(1))
-    dealt = rows.withColumn(_HASH, F.xxhash64(*(a for a, _ in keys))).join(shares, _HASH, "left")
-    # Rows of a partition are dealt in turn, equal ones as well.
-    turn = F.pmod(F.monotonically_increasing_id(), one.cast("bigint")).cast("int")
-    dealt = dealt.withColumn(_SALT, turn).drop(_HASH, "_shares")
+    dealt = written(deal(rows, hot.frame, [a for a, _ in keys]), "dealt")
     repeated = lookup.frame.withColumn(_HASH, hash_of).join(shares, _HASH, "left")
     repeated = repeated.withColumn(_SALT, F.explode(F.sequence(F.lit(0), one - 1)))
     repeated = repeated.drop(_HASH, "_shares")
     return _joined(dealt, repeated, [*keys, (_SALT, _SALT)], how).drop(_SALT)
 
 
+def deal(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the share of each row, by its turn among the rows as they now lie.
+
+    ``hot`` has the hash of every hot key and its number of shares. The turn depends on
+    the order of the rows, so the result must be written before anything is joined to it.
+    """
+    shares = F.coalesce("_shares", F.lit(1)).cast("bigint")
+    turn = F.pmod(F.monotonically_increasing_id(), shares).cast("int")
+    marked = rows.withColumn(_HASH, F.xxhash64(*keys)).join(F.broadcast(hot), _HASH, "left")
+    return marked.withColumn(_SALT, turn).drop(_HASH, "_shares")
+
+
 def _joined(
     rows: DataFrame, lookup: DataFrame, keys: list[tuple[str, str]], how: str
 ) -> DataFrame:

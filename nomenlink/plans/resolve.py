@@ -1,7 +1,7 @@
 """The whole resolution: from a table of names to codes and ambiguous candidates.
 
 Input rows take part only in the first aggregate, which leaves each distinct pair of
-names once, and in the last joins. Between them every distinct name is searched once,
+names once, and in the last join. Between them every distinct name is searched once,
 every code crosses over once, and a pair gets only the candidates of its chosen search.
 """
 
@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import eligible
 from ..functions.rules import KINDS
 from ..operators.assemble import (
+    ANSWER,
     FLAG_COLUMNS,
+    LISTED,
     REPORT_COLUMNS,
     WIDE_COLUMNS,
     Resolved,
     ambiguous_codes,
+    answers,
     check_names_free,
     id_source,
-    wide_codes,
     with_flags,
 )
 from ..operators.candidates import (
@@ -54,7 +56,7 @@ from ..operators.policies import (
 )
 from ..sources.authorities import Authorities
 from ..sources.names import check_columns, distinct_names
-from ..sources.staging import Staged, stage, stage_unless_small
+from ..sources.staging import Staged, stage, stage_unless_small, written
 from .ranking import (
     BEST_RANK,
     ITIS_RANK,
@@ -77,9 +79,13 @@ def resolve_names(
     checked: DataFrame | None = None,
     debug: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
+    listed: int = LISTED,
 ) -> Resolved:
     """Find the AphiaID and the TSN of every row by its scientific and common name.
 
+    The input is read twice: for its distinct names, and to meet their answers. What that
+    gives is written, and both results are cut from it.
+
     ``checked`` may be the ``links`` of an earlier run: what the crosswalk answered then.
     Those codes are not looked up again, and the rows that have them get the old answers.
     """
@@ -96,20 +102,30 @@ def resolve_names(
     def rows_per_pair() -> DataFrame:
         return pairs.frame.select(*lookup_keys, "n")
 
-    staged = stage(cands, "candidates")
-    cands = staged.frame
-    # At most one row per pair, with the names of the pair and strings of its candidates.
-    source = Staged(cands, staged.rows, staged.size + pairs.size)
-    wide = ids.join(wide_codes(cands), "id").drop("id")
-    wide = stage_unless_small(wide, "wide", source, broadcast_bytes)
-    report = ids.join(ambiguous_codes(cands), "id").drop("id")
-    report = stage(report, "report")
-    resolved = attach(names, wide, keys, "left", rows_per_pair, broadcast_bytes)
-    ambiguous = attach(names, report, keys, "inner", rows_per_pair, broadcast_bytes)
+    cands = stage(cands, "candidates").frame
+    found = answers(cands, listed)
+    packed = F.struct(*found.columns).alias(ANSWER)
+    found = stage(ids.join(found.select("id", packed), "id").drop("id"), "answers")
+    # The input meets its answers once, and both results are cut from what is written.
+    both = attach(names, found, keys, "left", rows_per_pair, broadcast_bytes)
+    both = written(both, "answered")
+
     stamp = id_source(debug).alias("id_src")
+    inputs = [F.col(f"`{c}`") for c in names.columns]
+    answer = F.col(ANSWER)
+    codes = [answer[c].alias(c) for c in (*WIDE_COLUMNS, *FLAG_COLUMNS)]
+    resolved = with_flags(both.select(*inputs, *codes))
+    ambiguous = both.select(*inputs, F.inline(answer["report"]))
+    unlisted = found.frame.where(answer["unlisted"]).select(answer["id"].alias("id"))
+    if unlisted.limit(1).count():
+        entries = stage(ambiguous_codes(cands.join(unlisted, "id")), "unlisted")
+        more = both.where(answer["unlisted"]).withColumn(ANSWER, answer["id"])
+        per_id = lambda: more.groupBy(answer.alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        more = attach(more, entries, [(ANSWER, "id")], "inner", per_id, broadcast_bytes)
+        ambiguous = ambiguous.unionByName(more.select(*ambiguous.columns))
     return Resolved(
-        with_flags(resolved).select(*names.columns, *WIDE_COLUMNS, *FLAG_COLUMNS, stamp),
-        ambiguous.select(*names.columns, *REPORT_COLUMNS, stamp),
+        resolved.select(*inputs, *WIDE_COLUMNS, *FLAG_COLUMNS, stamp),
+        ambiguous.select(*inputs, *REPORT_COLUMNS, stamp),
         links,
     )
 

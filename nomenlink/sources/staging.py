@@ -47,18 +47,23 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write the frame once and read it back."""
+    path = f"{shared_dir(df.sparkSession)}/nomenlink/{uuid.uuid4().hex}/{label}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stage(df: DataFrame, label: str) -> Staged:
     """Write the frame once, measuring it on the way, and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/nomenlink/{uuid.uuid4().hex}/{label}"
     seen = Observation()
     measured = df.observe(
         seen,
         F.count(F.lit(1)).alias("rows"),
         F.sum(_row_bytes(df)).alias("bytes"),
     )
-    measured.write.parquet(path)
+    frame = written(measured, label)
     found = seen.get
-    frame = df.sparkSession.read.schema(df.schema).parquet(path)
     return Staged(frame, found["rows"], found["bytes"] or 0)
 
 
@@ -82,10 +87,19 @@ def _leaves(kind: T.DataType) -> int:
 
 
 def _row_bytes(df: DataFrame) -> Column:
-    """Payload of a row: string bytes, plus sixteen for every value."""
-    strings = [
-        F.coalesce(F.octet_length(F.col(field.name)), F.lit(0))
-        for field in df.schema.fields
-        if isinstance(field.dataType, T.StringType)
-    ]
-    return sum(strings, F.lit(16 * _leaves(df.schema)).cast("bigint"))
+    """Payload of a row: string bytes, plus sixteen for every value and list."""
+    return sum(
+        (_payload(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields),
+        F.lit(0).cast("bigint"),
+    )
+
+
+def _payload(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        return sum((_payload(value[f.name], f.dataType) for f in kind.fields), F.lit(0))
+    if isinstance(kind, T.StringType):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        one = lambda total, x: total + _payload(x, kind.elementType)
+        return F.coalesce(F.aggregate(value, F.lit(0).cast("bigint"), one), F.lit(0)) + 16
+    return F.lit(16)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from nomenlink import keep_if_any
 from nomenlink.operators.groups import keep_best_tier, preference
-from nomenlink.operators.joins import attach
+from nomenlink.operators.joins import attach, deal
 from nomenlink.sources.staging import Staged, stage, stage_unless_small
 
 
@@ -66,7 +66,8 @@ def test_attach_gives_the_same_rows_by_every_way(spark, how):
         dealt = attach(df, Staged(table.frame, table.rows, size), [("k", "k")], how, counts, limit)
         assert asked and dealt.columns == ["id", "k", "v"]
         plan = dealt._jdf.queryExecution().optimizedPlan().toString()
-        assert "_join_salt" in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") <= 1
+        # The rows come from what was written with their shares, not from where they lay.
+        assert "_join_salt" in plan and "monotonically" not in plan and "LogicalRDD" not in plan
         assert shape(dealt, ["id", "k", "v"]) == want
     # 1000 hot rows match twice; of the others, k2 and k5 match once.
     others = sum(k in ("k2", "k5") for _, k in rows)
@@ -94,6 +95,40 @@ def test_no_task_gets_much_more_than_its_share(spark):
     assert max(r["count"] for r in sizes) < 3 * 9000 / 12
 
 
+def test_shares_stay_when_the_rows_come_in_another_order(spark, tmp_path):
+    """The files of the input change places between two readings of the joined rows."""
+    places = [str(tmp_path / x) for x in "abc"]
+    for i, place in enumerate(places):
+        spark.range(i * 100, i * 100 + 50 * (i + 1)).selectExpr("id", "'hot' AS k").coalesce(1).write.parquet(place)
+    df = spark.read.parquet(*places)
+    hot = df.select(F.xxhash64("k").alias("_join_hash")).distinct().withColumn("_shares", F.lit(4))
+    by_turn = {tuple(r) for r in deal(df, hot, ["k"]).select("id", "_join_salt").collect()}
+    moved = spark.read.parquet(*reversed(places)).coalesce(1)
+    assert by_turn != {tuple(r) for r in deal(moved, hot, ["k"]).select("id", "_join_salt").collect()}
+
+    table = stage(spark.createDataFrame([("hot", 1)], "k string, v int"), "lookup")
+    rows = df.orderBy(F.rand())
+    counts = lambda: df.groupBy("k").agg(F.count("*").alias("n"))
+    out = attach(rows, table, [("k", "k")], "inner", counts, 0)
+    # Every evaluation draws another order of the source, and none of them is seen.
+    seen = [sorted(map(tuple, out.withColumn("p", F.spark_partition_id()).collect())) for _ in range(3)]
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == df.count()
+
+
+def test_equal_rows_have_shares_of_their_own(spark):
+    df = spark.range(400).selectExpr("'hot' AS k")
+    hot = df.select(F.xxhash64("k").alias("_join_hash")).distinct().withColumn("_shares", F.lit(4))
+    sizes = [r["count"] for r in deal(df, hot, ["k"]).groupBy("_join_salt").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 120
+
+
+def test_stage_measures_lists(spark):
+    df = spark.createDataFrame(
+        [([("ab", 1), (None, 2)],), ([],), (None,)], "l array<struct<s:string,v:int>>"
+    )
+    assert stage(df, "lists").size == 3 * 16 + 2 * 32 + 2
+
+
 def test_attach_matches_null_keys(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "a", None), (3, "a", "x")], "id int, a string, b string")
     table = stage(

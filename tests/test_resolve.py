@@ -296,6 +296,43 @@ def test_a_third_of_the_rows_with_one_name(spark):
         assert as_sets(resolve_names(df, known, "sci", "comm", broadcast_bytes=limit)) == want
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_the_input_is_read_twice_for_both_results(spark, limit):
+    world, rows = random_world(12)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows, NAMES)
+    known = snapshots(spark, **world).staged()
+    result = resolve_names(
+        df.mapInArrow(counted, df.schema), known, "sci", "comm", broadcast_bytes=limit
+    )
+    assert result.resolved.count() == len(rows)
+    assert result.ambiguous.select("sugg_spelling").collect()
+    assert read.value == 2 * len(rows)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_long_lists_of_candidates_are_joined_instead(spark, limit):
+    """Whatever number of candidates an answer may list, the report is the same."""
+    units = [(i, f"GADU {w}") for i, w in enumerate("ABCDEFGHIJKL")]
+    known = snapshots(spark, itis_names=units + [(50, "ALBA A"), (51, "ALBA B")])
+    rows = [(i, ("GADU", "ALBA", None)[i % 3], None) for i in range(60)]
+    df = spark.createDataFrame(rows, NAMES)
+    found = [
+        resolve_names(df, known, "sci", "comm", broadcast_bytes=limit, listed=n) for n in (1, 5, 1000)
+    ]
+    reports = [sorted(map(str, f.ambiguous.collect())) for f in found]
+    assert len(reports[0]) == 20 * 12 + 20 * 2
+    assert reports[0] == reports[1] == reports[2]
+    wide = [sorted(map(str, f.resolved.collect())) for f in found]
+    assert len(wide[0]) == 60 and wide[0] == wide[1] == wide[2]
+
+
 def test_every_input_row_comes_out_once_with_its_own_columns(spark):
     world, rows = random_world(9)
     df = spark.createDataFrame(rows + rows, NAMES)
