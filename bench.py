@@ -26,6 +26,7 @@ HEADLINE = (
     "ambiguous_report",
     "resolved_order_lines",
     "ambiguous_order_lines",
+    "both_results_order_lines",
     "resolved_shuffled",
 )
 

@@ -430,15 +430,17 @@ def cascade_tsn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen(spark, sf_dir, TSN)
 
 
-def resolved(spark: SparkSession, sf_dir: str, rows: DataFrame) -> nl.Resolved:
+def resolved(
+    spark: SparkSession, sf_dir: str, rows: DataFrame, only: str | None = None
+) -> nl.Resolved:
     return nl.resolve_names(
-        rows, fx.authorities(spark, sf_dir, written=True), "sci_name", "comm_name"
+        rows, fx.authorities(spark, sf_dir, written=True), "sci_name", "comm_name", only=only
     )
 
 
 @register(f"SELECT w.*, '{VERSION_STAMP}' AS id_src FROM wide w")
 def resolved_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolved(spark, sf_dir, fx.names(spark, sf_dir)).resolved
+    return resolved(spark, sf_dir, fx.names(spark, sf_dir), "resolved").resolved
 
 
 _REPORT = """f.code AS code_sugg, f.svc AS code_svc, f.type AS code_type, f.sure AS code_definitive,
@@ -451,7 +453,7 @@ FROM fx_names n JOIN final f ON f.id = n.row_key
 WHERE (f.id, f.type) IN (SELECT (id, type) FROM final GROUP BY id, type HAVING count(*) > 1)"""
 )
 def ambiguous_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolved(spark, sf_dir, fx.names(spark, sf_dir)).ambiguous
+    return resolved(spark, sf_dir, fx.names(spark, sf_dir), "ambiguous").ambiguous
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -468,7 +470,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM lineitem l JOIN wide w ON w.row_key = l.l_partkey"""
 )
 def resolved_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolved(spark, sf_dir, order_lines(spark, sf_dir)).resolved
+    return resolved(spark, sf_dir, order_lines(spark, sf_dir), "resolved").resolved
 
 
 @register(
@@ -477,7 +479,30 @@ FROM lineitem l JOIN fx_names n ON n.row_key = l.l_partkey JOIN final f ON f.id
 WHERE (f.id, f.type) IN (SELECT (id, type) FROM final GROUP BY id, type HAVING count(*) > 1)"""
 )
 def ambiguous_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolved(spark, sf_dir, order_lines(spark, sf_dir)).ambiguous
+    return resolved(spark, sf_dir, order_lines(spark, sf_dir), "ambiguous").ambiguous
+
+
+@register(
+    """SELECT l.l_orderkey, l.l_linenumber, w.aphiaid AS code, w.aphiaid_multi_flag AS flag, 'wide' AS result
+FROM lineitem l JOIN wide w ON w.row_key = l.l_partkey
+UNION ALL
+SELECT l.l_orderkey, l.l_linenumber, f.code, f.sure, f.type
+FROM lineitem l JOIN final f ON f.id = l.l_partkey
+WHERE (f.id, f.type) IN (SELECT (id, type) FROM final GROUP BY id, type HAVING count(*) > 1)"""
+)
+def both_results_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both results of one run, one under the other."""
+    found = resolved(spark, sf_dir, order_lines(spark, sf_dir))
+    key = ("l_orderkey", "l_linenumber")
+    wide = found.resolved.select(
+        *key, F.col("aphiaid").alias("code"), F.col("aphiaid_multi_flag").alias("flag"),
+        F.lit("wide").alias("result"),
+    )
+    report = found.ambiguous.select(
+        *key, F.col("code_sugg").alias("code"), F.col("code_definitive").alias("flag"),
+        F.col("code_type").alias("result"),
+    )
+    return wide.unionByName(report)
 
 
 @register(
@@ -496,7 +521,7 @@ def resolved_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole resolution with nothing small enough to broadcast."""
     return nl.resolve_names(
         fx.names(spark, sf_dir), fx.authorities(spark, sf_dir, written=True),
-        "sci_name", "comm_name", broadcast_bytes=0,
+        "sci_name", "comm_name", broadcast_bytes=0, only="resolved",
     ).resolved
 
 
@@ -506,7 +531,7 @@ def resolved_second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, snapshots = fx.names(spark, sf_dir), fx.authorities(spark, sf_dir, written=True)
     first = nl.resolve_names(rows.where("row_key > 10000000"), snapshots, "sci_name", "comm_name")
     return nl.resolve_names(
-        rows, snapshots, "sci_name", "comm_name", checked=first.links
+        rows, snapshots, "sci_name", "comm_name", checked=first.links, only="resolved"
     ).resolved
 
 
@@ -519,7 +544,8 @@ def resolved_one_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scientific names alone, with the debug stamp."""
     rows = fx.names(spark, sf_dir).where("comm_name IS NULL").select("row_key", "sci_name")
     found = nl.resolve_names(
-        rows, fx.authorities(spark, sf_dir, written=True), sci_col="sci_name", debug=True
+        rows, fx.authorities(spark, sf_dir, written=True), sci_col="sci_name", debug=True,
+        only="resolved",
     )
     return found.resolved.select(
         "row_key", "sci_name", "aphiaid", "aphiaid_definitive", "tsn", "tsn_definitive",

@@ -32,10 +32,11 @@ LISTED = 1000
 
 class Resolved(NamedTuple):
     """One row per input row, the candidates of every ambiguous input row, and what the
-    crosswalk answered to the codes sent, for a later run's ``checked``."""
+    crosswalk answered to the codes sent, for a later run's ``checked``. A result that was
+    not asked for is null."""
 
-    resolved: DataFrame
-    ambiguous: DataFrame
+    resolved: DataFrame | None
+    ambiguous: DataFrame | None
     links: DataFrame | None = None
 
 

@@ -79,18 +79,23 @@ def resolve_names(
     checked: DataFrame | None = None,
     debug: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
+    only: str | None = None,
     listed: int = LISTED,
 ) -> Resolved:
     """Find the AphiaID and the TSN of every row by its scientific and common name.
 
     The input is read twice: for its distinct names, and to meet their answers. What that
-    gives is written, and both results are cut from it.
+    gives is written, and both results are cut from it. Who needs ``only`` the result of
+    that name, ``resolved`` or ``ambiguous``, gets its last join unwritten, and null for
+    the other.
 
     ``checked`` may be the ``links`` of an earlier run: what the crosswalk answered then.
     Those codes are not looked up again, and the rows that have them get the old answers.
     """
     used = check_columns(names, sci_col, comm_col)
     check_names_free(names)
+    if only not in (None, "resolved", "ambiguous"):
+        raise ValueError(f"no such result: {only!r}")
     pairs = stage_pairs(names, sci_col, comm_col, sci_filters, comm_filters)
     cands, links = resolve_with_links(pairs.frame, authorities, checked, broadcast_bytes)
 
@@ -104,17 +109,26 @@ def resolve_names(
 
     cands = stage(cands, "candidates").frame
     found = answers(cands, listed)
+    if only == "resolved":
+        found = found.drop("report").withColumn("unlisted", F.lit(False))
+    elif only == "ambiguous":
+        found = found.where(F.col("unlisted") | F.col("report").isNotNull())
     packed = F.struct(*found.columns).alias(ANSWER)
     found = stage(ids.join(found.select("id", packed), "id").drop("id"), "answers")
     # The input meets its answers once, and both results are cut from what is written.
-    both = attach(names, found, keys, "left", rows_per_pair, broadcast_bytes)
-    both = written(both, "answered")
+    how = "inner" if only == "ambiguous" else "left"
+    both = attach(names, found, keys, how, rows_per_pair, broadcast_bytes)
+    if only is None:
+        both = written(both, "answered")
 
     stamp = id_source(debug).alias("id_src")
     inputs = [F.col(f"`{c}`") for c in names.columns]
     answer = F.col(ANSWER)
     codes = [answer[c].alias(c) for c in (*WIDE_COLUMNS, *FLAG_COLUMNS)]
     resolved = with_flags(both.select(*inputs, *codes))
+    resolved = resolved.select(*inputs, *WIDE_COLUMNS, *FLAG_COLUMNS, stamp)
+    if only == "resolved":
+        return Resolved(resolved, None, links)
     ambiguous = both.select(*inputs, F.inline(answer["report"]))
     unlisted = found.frame.where(answer["unlisted"]).select(answer["id"].alias("id"))
     if unlisted.limit(1).count():
@@ -123,11 +137,8 @@ def resolve_names(
         per_id = lambda: more.groupBy(answer.alias("id")).agg(F.count(F.lit(1)).alias("n"))
         more = attach(more, entries, [(ANSWER, "id")], "inner", per_id, broadcast_bytes)
         ambiguous = ambiguous.unionByName(more.select(*ambiguous.columns))
-    return Resolved(
-        resolved.select(*inputs, *WIDE_COLUMNS, *FLAG_COLUMNS, stamp),
-        ambiguous.select(*inputs, *REPORT_COLUMNS, stamp),
-        links,
-    )
+    ambiguous = ambiguous.select(*inputs, *REPORT_COLUMNS, stamp)
+    return Resolved(None if only else resolved, ambiguous, links)
 
 
 def stage_pairs(

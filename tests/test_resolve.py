@@ -314,6 +314,11 @@ def test_the_input_is_read_twice_for_both_results(spark, limit):
     assert result.resolved.count() == len(rows)
     assert result.ambiguous.select("sugg_spelling").collect()
     assert read.value == 2 * len(rows)
+    for only, other in (("resolved", "ambiguous"), ("ambiguous", "resolved")):
+        alone = resolve_names(df, known, "sci", "comm", broadcast_bytes=limit, only=only)
+        assert getattr(alone, other) is None
+        a, b = (sorted(map(str, getattr(r, only).collect())) for r in (alone, result))
+        assert a == b
 
 
 @pytest.mark.parametrize("limit", [1 << 20, 0])
@@ -386,6 +391,8 @@ def test_wrong_calls_fail_early(spark):
         resolve_names(df, known, "key")
     with pytest.raises(ValueError, match="not a valid pattern"):
         resolve_names(df, known, "sci", sci_filters=["("])
+    with pytest.raises(ValueError, match="no such result"):
+        resolve_names(df, known, "sci", only="both")
     with pytest.raises(ValueError, match="columns of the result"):
         resolve_names(df.withColumnRenamed("key", "id_src"), known, "sci")
 
@@ -395,7 +402,11 @@ def test_no_python_and_no_cross_joins_in_the_plan(spark):
     df = spark.createDataFrame(rows, NAMES)
     for limit in (1 << 20, 0):
         result = resolve_names(df, snapshots(spark, **world), "sci", "comm", broadcast_bytes=limit)
-        for frame in result[:2]:
+        alone = [
+            getattr(resolve_names(df, snapshots(spark, **world), "sci", "comm", broadcast_bytes=limit, only=o), o)
+            for o in ("resolved", "ambiguous")
+        ]
+        for frame in (*result[:2], *alone):
             plan = frame._jdf.queryExecution().executedPlan().toString()
             for unwanted in ("Python", "Cartesian", "NestedLoop", "Window"):
                 assert unwanted not in plan
