@@ -18,6 +18,7 @@ from nomenlink.operators.lookups import (
     derive_best_match,
     distinct_keys,
     search_itis,
+    search_itis_shortest,
     search_worms,
     verify_match,
     with_accepted,
@@ -60,6 +61,14 @@ def both_kinds(rows: DataFrame, search, authorities: nl.Authorities) -> DataFram
     return sci.unionByName(comm)
 
 
+def kinds_of_names(rows: DataFrame) -> DataFrame:
+    """Each name of either kind once, as ``kind, name``."""
+    sci, comm = (
+        distinct_keys(rows, c).withColumn("kind", F.lit(k)) for k, c in zip(KINDS, ("sci_clean", "comm_clean"))
+    )
+    return sci.unionByName(comm)
+
+
 # --- sources -----------------------------------------------------------------------
 
 
@@ -154,7 +163,7 @@ LEFT JOIN fx_itis_synonyms s ON s.tsn = f.tsn"""
 )
 def itis_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapshots = fx.authorities(spark, sf_dir)
-    found = both_kinds(cleaned(spark, sf_dir), search_itis, snapshots)
+    found = search_itis(kinds_of_names(cleaned(spark, sf_dir)), snapshots)
     return with_accepted(with_usage(found, snapshots), snapshots).select(
         "name", "kind", "tsn", "found_name", "is_valid", "accepted_tsn", "accepted_name"
     )
@@ -230,6 +239,18 @@ def worms_common_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT name, " + _DECIDED.format(svc="RITIS", type=TSN, src="b.kind") + " FROM by_itis b"
 )
 def itis_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the search that the whole resolution uses."""
+    snapshots = fx.authorities(spark, sf_dir)
+    names = stage(kinds_of_names(cleaned(spark, sf_dir)), "names").frame
+    found = search_itis_shortest(names, snapshots)
+    return nl.decide_itis(with_accepted(with_usage(found, snapshots), snapshots))
+
+
+@register(
+    "SELECT name, " + _DECIDED.format(svc="RITIS", type=TSN, src="b.kind") + " FROM by_itis b"
+)
+def itis_policy_all_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By all units that a name leads to."""
     return nl.decide_itis(itis_search(spark, sf_dir))
 
 
@@ -238,7 +259,8 @@ def itis_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT 1 FROM found_itis g WHERE g.name = f.name AND g.kind = f.kind AND g.found_name = g.name)"""
 )
 def keep_if_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = both_kinds(cleaned(spark, sf_dir), search_itis, fx.authorities(spark, sf_dir))
+    names = kinds_of_names(cleaned(spark, sf_dir))
+    found = search_itis(names, fx.authorities(spark, sf_dir))
     return nl.keep_if_any(found, ["name", "kind"], F.col("found_name") == F.col("name"))
 
 

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import token_count
 from ..sources.authorities import Authorities
+from .prefixes import prefix_matches
 
 
 def distinct_keys(df: DataFrame, col: str, output: str = "name") -> DataFrame:
@@ -69,33 +69,17 @@ def derive_best_match(names: DataFrame, authorities: Authorities, kind: str) ->
     """The best match where the snapshot has no ready table of them.
 
     An authority name matches exactly, or by pattern when it starts with the name.
-    Each authority name yields its own prefixes, which turns the prefix search into an
-    equality join. Only prefixes that are asked for are aggregated, to one row each.
     """
     if kind == "scientific":
-        known = authorities.worms_taxa.select(F.col("scientificname").alias("known"), "aphia_id")
+        known = authorities.worms_taxa.select(F.col("scientificname").alias("text"), "aphia_id")
     else:
-        known = authorities.worms_vernacular.select(F.col("vernacular").alias("known"), "aphia_id")
-    length = F.char_length("known")
-    # One row per length in use; a name has few hundred characters at most.
-    lengths = [r[0] for r in names.select(F.char_length("name")).distinct().collect()]
-    at = F.filter(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"), lambda n: n <= length)
-    prefixes = known.select("known", "aphia_id", F.explode(at).alias("at"))
-    best = (
-        prefixes.select(
-            F.substring("known", F.lit(1), F.col("at")).alias("name"),
-            (F.col("at") < length).alias("pattern_match"),
-            "aphia_id",
-        )
-        .join(names, "name", "left_semi")
-        .distinct()
-        .groupBy("name")
-        .agg(
-            F.min(F.struct("pattern_match", "aphia_id")).alias("best"),
-            (F.count(F.lit(1)) > 1).alias("multiple_matches"),
-        )
+        known = authorities.worms_vernacular.select(F.col("vernacular").alias("text"), "aphia_id")
+    found = prefix_matches(names.select("name"), known.distinct())
+    best = found.groupBy("name").agg(
+        F.min(F.struct((F.col("text") != F.col("name")).alias("pattern_match"), "aphia_id")).alias("best"),
+        (F.count(F.lit(1)) > 1).alias("multiple_matches"),
     )
-    return names.join(best, "name").select(
+    return best.select(
         "name", F.lit(kind).alias("kind"), "best.aphia_id", "multiple_matches",
         "best.pattern_match",
     )
@@ -114,42 +98,51 @@ def verify_match(matches: DataFrame, authorities: Authorities) -> DataFrame:
     )
 
 
-def search_itis_shortest(names: DataFrame, authorities: Authorities, kind: str) -> DataFrame:
+def search_itis_shortest(
+    names: DataFrame, authorities: Authorities, kind: str | None = None
+) -> DataFrame:
     """The part of ``search_itis`` that its decision keeps.
 
     A unit with as many words as the name is the name itself. So names that are units
     find those, by a plain join; only the others are searched by leading words.
     """
-    exact = names.join(
-        _itis_known(authorities, kind), F.col("name") == F.col("found_name")
-    ).select("name", F.lit(kind).alias("kind"), "tsn", "found_name")
-    others = names.join(exact.select("name"), "name", "left_anti")
-    return exact.distinct().unionByName(search_itis(others, authorities, kind))
+    names = _with_kind(names, kind)
+    known = _itis_known(authorities).withColumn("name", F.col("text"))
+    exact = names.join(known, ["kind", "name"])
+    exact = exact.select("name", "kind", "tsn", F.col("text").alias("found_name")).distinct()
+    others = names.join(exact.select("kind", "name"), ["kind", "name"], "left_anti")
+    return exact.unionByName(search_itis(others, authorities))
 
 
-def _itis_known(authorities: Authorities, kind: str) -> DataFrame:
-    if kind == "scientific":
-        return authorities.itis_names.select("tsn", F.col("combined_name").alias("found_name"))
-    return authorities.itis_vernacular.select("tsn", F.col("common_name").alias("found_name"))
+def _with_kind(names: DataFrame, kind: str | None) -> DataFrame:
+    return names if kind is None else names.select("name", F.lit(kind).alias("kind"))
+
 
+def _itis_known(authorities: Authorities) -> DataFrame:
+    """``kind, text, tsn`` of all unit names."""
+    sci, comm = authorities.itis_names, authorities.itis_vernacular
+    return sci.select(
+        F.lit("scientific").alias("kind"), F.col("combined_name").alias("text"), "tsn"
+    ).unionByName(
+        comm.select(F.lit("common").alias("kind"), F.col("common_name").alias("text"), "tsn")
+    )
 
-def search_itis(names: DataFrame, authorities: Authorities, kind: str) -> DataFrame:
+
+def search_itis(
+    names: DataFrame, authorities: Authorities, kind: str | None = None
+) -> DataFrame:
     """ITIS units whose name is the searched name or continues it by whole words.
 
-    So a genus finds its species and a species its subspecies. Gives ``name, kind, tsn,
-    found_name``, without duplicates. Each authority name yields its leading words as
-    keys, which makes the search an equality join.
+    So a genus finds its species and a species its subspecies. Without a ``kind``, each
+    name comes with its own. Gives ``name, kind, tsn, found_name``, without duplicates.
     """
-    known = _itis_known(authorities, kind)
-    words = F.split("found_name", " ")
-    keys = known.where(F.col("found_name").isNotNull()).select(
-        "tsn", "found_name", F.explode(F.sequence(F.lit(1), token_count(F.col("found_name")))).alias("at")
-    )
-    keys = keys.select(
-        F.array_join(F.slice(words, F.lit(1), F.col("at")), " ").alias("name"),
-        F.lit(kind).alias("kind"), "tsn", "found_name",
+    known = _itis_known(authorities)
+    if kind is not None:
+        known = known.where(F.col("kind") == kind)
+    found = prefix_matches(
+        _with_kind(names, kind), known.distinct(), by=["kind"], whole_words=True
     )
-    return names.join(keys, "name").distinct()
+    return found.select("name", "kind", "tsn", F.col("text").alias("found_name"))
 
 
 def usage_ratings(authorities: Authorities) -> DataFrame:

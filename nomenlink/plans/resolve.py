@@ -265,7 +265,8 @@ def search_all(pairs: DataFrame, authorities: Authorities) -> DataFrame:
 
     best = decide_best(verify_match(both(best_match), authorities))
     worms = decide_worms(both(search_worms))
-    units = with_accepted(with_usage(both(search_itis_shortest), authorities), authorities)
+    units = search_itis_shortest(names, authorities)
+    units = with_accepted(with_usage(units, authorities), authorities)
     return (
         ranked(worms, WORMS_RANK)
         .unionByName(ranked(best, BEST_RANK), allowMissingColumns=True)
