@@ -96,16 +96,19 @@ SELECT doc_id, class_id, doc_id = class_id AS kept FROM named
 UNION ALL SELECT doc_id, doc_id, true FROM docs WHERE len(w) = 0
 """
 
-# The eight values of CRC-32 per bit and byte are computed, not listed.
-MERKLE_MANIFEST = """
-WITH RECURSIVE crc_table AS (
+# The values of CRC-32 per byte are computed, not listed. Gives ``crc`` of the id as text.
+_CRC = """crc_table AS (
   SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, b:
     CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS crcs),
 hashed AS (
   SELECT documents.*, xor(4294967295, list_reduce(
     list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
     lambda c, b: xor(c // 256, crcs[CAST(xor(c, b) % 256 AS INT) + 1]), 4294967295)) AS crc
-  FROM documents, crc_table),
+  FROM documents, crc_table),"""
+MERKLE_MANIFEST = (
+    "WITH RECURSIVE "
+    + _CRC
+    + """
 framed AS (
   SELECT doc_id, coalesce('=' || lang, '') AS tree, crc,
     coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id::VARCHAR, '-')
@@ -164,6 +167,7 @@ folded AS (
   LEFT JOIN proofs USING (r))
 SELECT *, folded_root = root AS verified FROM folded
 """
+)
 
 _NEAREST = """
 near{i} AS (
@@ -206,3 +210,36 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
   codebooks_sha256 FROM named, hashed
 """
 )
+
+# Profiles of 400 n-grams of one to three characters.
+RANK_PROFILES = (
+    "WITH "
+    + _CRC
+    + r"""
+words AS (
+  SELECT r, ' ' || unnest(regexp_extract_all(lower(text), '\p{L}[\p{L}\p{M}]*')) || ' ' AS w
+  FROM (SELECT row_number() OVER () AS r, * FROM hashed)),
+rows AS (SELECT row_number() OVER () AS r, doc_id, lang, crc FROM hashed),
+cut AS (SELECT r, substr(w, i, k) AS g FROM (
+    SELECT r, w, k, unnest(range(1, length(w) - k + 2)) AS i FROM words, (SELECT unnest([1, 2, 3]) AS k))
+  WHERE substr(w, i, k) <> ' '),
+counts AS (SELECT r, g, count(*) AS n FROM cut GROUP BY r, g),
+own AS (
+  SELECT r, g, row_number() OVER (PARTITION BY r ORDER BY n DESC, length(g), g) - 1 AS place
+  FROM counts QUALIFY place < 400),
+learned AS (
+  SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, length(g), g) - 1 AS place
+  FROM counts JOIN rows USING (r) WHERE lang IS NOT NULL AND crc % 4 <> 2 GROUP BY lang, g
+  QUALIFY place < 400),
+away AS (
+  SELECT r, l.lang, sum(coalesce(abs(p.place - own.place), 400)) AS d
+  FROM own CROSS JOIN (SELECT DISTINCT lang FROM learned) l
+  LEFT JOIN learned p ON p.lang = l.lang AND p.g = own.g GROUP BY r, l.lang),
+best AS (
+  SELECT r, arg_min(lang, (d, lang)) AS lang_pred, list(CAST(d AS DOUBLE) ORDER BY d) AS ds FROM away GROUP BY r)
+SELECT doc_id, coalesce(crc % 4 = 2, false) AS held_out, coalesce(lang_pred, 'und') AS lang_pred,
+  CASE WHEN lang_pred IS NULL THEN 0.0::DOUBLE WHEN len(ds) = 1 THEN 1.0::DOUBLE WHEN ds[2] = 0 THEN 0.0::DOUBLE
+    ELSE floor((1 - ds[1] / ds[2]) * 1e6 + 0.5) / 1e6 END AS score
+FROM rows LEFT JOIN best USING (r)
+"""
+)

@@ -132,6 +132,7 @@ ORACLES: dict[str, str] = {
     "op2_url_markov": url_markov.oracle(RULES),
     "op5_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op6_weighted_minhash": oracles.WEIGHTED_MINHASH,
+    "op8_rank_profiles": oracles.RANK_PROFILES,
     "op11_merkle_manifest": oracles.MERKLE_MANIFEST,
     "op13_code_compression": oracles.CODE_COMPRESSION,
 }

@@ -1,8 +1,9 @@
 """Language identification by rank-order profiles of character n-grams.
 
 A profile lists the most frequent n-grams (one to ``LONGEST`` characters, of lower-cased
-words of letters with a blank on each side) in order of their counts, equal counts in the
-order of their characters. A language's profile comes from all its training
+words with a blank on each side) in order of their counts, equal counts in the order of
+their length and characters. A word is a letter and the letters and combining marks, such
+as vowel signs, that follow it. A language's profile comes from all its training
 texts. A document's n-grams are compared with each profile by the out-of-place distance:
 how far the rank of an n-gram differs, summed over the document's profile; an n-gram that
 a profile lacks counts as ``PROFILE`` places. The language of least distance wins; equal
@@ -13,11 +14,16 @@ and 1 where only one language was learned.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is
 every text where nothing was learned. Words of any length count whole. Texts of a null
-language teach nothing. Letters beyond the basic plane count as one and the same letter.
+language teach nothing. Letters of all planes count. Of more than ``LANGUAGES`` languages
+those with the most training texts are learned, which bounds the profiles that workers get
+(``lang`` is free text). Repeated rows teach as often as they stand and get equal answers;
+other columns are dropped.
 """
 
 from __future__ import annotations
 
+import math
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,56 +33,68 @@ from pyspark.sql import functions as F
 
 from .common import is_held_out, may_learn, small_batches, tidy
 
-# An n-gram is a number of 16 bits per character and a mark, so three are the most.
+# An n-gram is a number of 21 bits per character, so three are the most.
 LONGEST = 3
 PROFILE = 400
+# Languages that are learned at most; each sends its profile to the driver and workers.
+LANGUAGES = 2000
 # Distinct n-grams that a worker holds before it passes them on.
 HELD = 2_000_000
 
 UNKNOWN = "und"
 
-_BEYOND = 0xFFFF
-_LETTERS: list[np.ndarray] = []
+_PLANE = 0x10000
+# Stands for a blank. It sorts before all letters, and no n-gram starts with a zero.
+_BLANK = 1
+_OTHER, _MARK, _LETTER = range(3)
+_KINDS: list[np.ndarray] = []
 
 
-def _letters() -> np.ndarray:
-    """Which code points of the basic plane are letters; the last stands for all others."""
-    if not _LETTERS:
-        found = np.fromiter((chr(c).isalpha() for c in range(_BEYOND)), bool, _BEYOND)
-        _LETTERS.append(np.append(found, True))
-    return _LETTERS[0]
+def _kind(char: str) -> int:
+    if char.isalpha():
+        return _LETTER
+    return _MARK if unicodedata.category(char)[0] == "M" else _OTHER
 
 
-def _letter_codes(text: str) -> np.ndarray:
-    """Code points of the lower-cased text with one blank (0) for each run of non-letters,
-    and at both ends."""
+def _kinds(codes: np.ndarray) -> np.ndarray:
+    """Whether each code point is a letter, a combining mark or something else."""
+    if not _KINDS:
+        _KINDS.append(np.fromiter((_kind(chr(c)) for c in range(_PLANE)), np.uint8, _PLANE))
+    kinds = _KINDS[0][np.minimum(codes, _PLANE - 1)]
+    beyond = codes >= _PLANE
+    if beyond.any():
+        different, at = np.unique(codes[beyond], return_inverse=True)
+        kinds[beyond] = np.fromiter((_kind(chr(c)) for c in different.tolist()), np.uint8)[at]
+    return kinds
+
+
+def _word_codes(text: str) -> np.ndarray:
+    """Code points of the words of the lower-cased text, with a blank around each."""
     raw = f" {text.lower()} ".encode("utf-32-le", "surrogatepass")
     codes = np.frombuffer(raw, np.uint32)
-    beyond = codes >= _BEYOND
-    if beyond.any():
-        letters = np.fromiter((chr(c).isalpha() for c in codes[beyond].tolist()), bool)
-        codes = codes.copy()
-        codes[beyond] = np.where(letters, _BEYOND, 0)
-    codes = np.where(_letters()[codes], codes, 0).astype(np.uint64)
-    keep = codes != 0
-    keep[1:] |= keep[:-1]
+    kinds = _kinds(codes)
+    # A mark belongs to a word if the last character that is none is a letter.
+    base = np.maximum.accumulate(np.where(kinds == _MARK, 0, np.arange(len(codes))))
+    inside = kinds[base] == _LETTER
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]
     keep[0] = True
-    return codes[keep]
+    return np.where(inside, codes, _BLANK).astype(np.uint64)[keep]
 
 
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """N-grams of a text as ascending numbers, and their counts.
 
-    The number has 16 bits per character and the length in its highest bits.
+    The number has 21 bits per character, so shorter n-grams have lower ones.
     """
-    codes = _letter_codes(text or "")
+    codes = _word_codes(text or "")
     if len(codes) < 3:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    letter = codes != 0
+    letter = codes != _BLANK
     grams = [codes[letter]]
     now, inner = codes, None
     for k in range(2, LONGEST + 1):
-        now = (now[:-1] << np.uint64(16)) | codes[k - 1 :]
+        now = (now[:-1] << np.uint64(21)) | codes[k - 1 :]
         if k == 2:
             grams.append(now)
             continue
@@ -84,8 +102,7 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         last = letter[k - 2 : len(codes) - 1]
         inner = last if inner is None else inner[:-1] & last
         grams.append(now[inner])
-    marked = [g | np.uint64(k << 60) for k, g in enumerate(grams)]
-    return np.unique(np.concatenate(marked), return_counts=True)
+    return np.unique(np.concatenate(grams), return_counts=True)
 
 
 def most_frequent(grams: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np.ndarray:
@@ -97,7 +114,7 @@ def most_frequent(grams: np.ndarray, counts: np.ndarray, size: int = PROFILE) ->
     return grams[np.lexsort((grams, -counts))][:size]
 
 
-def learn(docs: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
+def learn(docs: DataFrame, size: int = PROFILE, most: int = LANGUAGES) -> dict[str, list[int]]:
     """The profile of each language of ``text`` and ``lang``, over all rows.
 
     Workers count n-grams in bounded memory, Spark adds the counts up, and only the most
@@ -127,6 +144,8 @@ def learn(docs: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
         yield from told()
 
     known = docs.where("lang is not null and text is not null").select("text", "lang")
+    texts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).select("lang")
+    known = known.join(F.broadcast(texts), "lang", "left_semi").select("text", "lang")
     counted = known.mapInPandas(count, "lang string, gram long, n long")
     counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # Each partition keeps its best first, so that no language meets in one task whole.
@@ -176,7 +195,7 @@ class Matcher:
             return self.languages[best], 1.0
         least, second = np.partition(found, 1)[:2]
         score = 1 - float(least) / float(second) if second else 0.0
-        return self.languages[best], round(score, 6)
+        return self.languages[best], math.floor(score * 1e6 + 0.5) / 1e6
 
 
 def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:

@@ -1,10 +1,13 @@
 """Language ID against a plain form, and on held-out documents."""
 
+import math
 import os
+import random
 import zlib
 from collections import Counter
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from nomenlink.llm import rank_profiles as rp
@@ -13,9 +16,9 @@ FOLDER = "/root/testdata/sf0.1"
 
 
 def plain_counts(text):
-    """N-grams of lower-cased words of letters with a blank on each side."""
+    """N-grams of lower-cased words with a blank on each side."""
     out = Counter()
-    for word in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+    for word in regex.findall(r"\p{L}[\p{L}\p{M}]*", (text or "").lower()):
         padded = f" {word} "
         for k in range(1, rp.LONGEST + 1):
             for i in range(len(padded) - k + 1):
@@ -26,13 +29,11 @@ def plain_counts(text):
 
 def name(gram):
     """The characters of an n-gram's number."""
-    gram = int(gram)
-    size = (gram >> 60) + 1
-    codes = [(gram >> 16 * k) & 0xFFFF for k in range(size)][::-1]
-    return "".join(chr(c or 32) for c in codes)
+    codes = [(int(gram) >> 21 * k) & 0x1FFFFF for k in (2, 1, 0)]
+    return "".join(chr(32 if c == 1 else c) for c in codes if c)
 
 
-TEXTS = ["", None, "12 !?", "a", "A b-a", "Été à l'école", "ſtraße ßß", "日本 語", "x" * 5000, "the thing then"]
+TEXTS = ["", None, "12 !?", "a", "A b-a", "Été à l'école", "ſtraße ßß", "日本 語", "x" * 5000, "हिन्दी में लिखा", "e\u0301te\u0301 \u0301x", "\u0301", "𞤀𞤁 𐐀𐐁a", "ab" * 1_000_000, "the thing then"]
 
 
 @pytest.mark.parametrize("text", TEXTS)
@@ -41,8 +42,53 @@ def test_counts_equal_the_plain_form(text):
     assert {name(g): n for g, n in zip(grams, counts.tolist())} == plain_counts(text)
 
 
-def test_letters_beyond_the_basic_plane_count():
+def test_letters_beyond_the_basic_plane_are_told_apart():
     assert rp.gram_counts("𐐀𐐁")[1].sum() == 7 and len(rp.gram_counts("😀")[0]) == 0
+    chance = random.Random(3)
+    words = [["".join(chr(0x1E922 + chance.randrange(b, b + 9)) for _ in range(6)) for _ in range(50)] for b in (0, 12)]
+    profiles = {
+        lang: rp.most_frequent(*rp.gram_counts(" ".join(own[:40]))).astype("int64").tolist()
+        for lang, own in zip("ab", words)
+    }
+    matcher = rp.Matcher(profiles)
+    assert [matcher.predict(" ".join(own[40:]))[0] for own in words] == ["a", "b"]
+
+
+def test_more_languages_than_are_learned(spark):
+    rows = [(i, f"text {chr(97 + i % 7)}x", f"l{i % 7}") for i in range(70)] + [(99, "y", "l0")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(rp.learn(frame, most=3)) == ["l0", "l1", "l2"]
+
+
+def test_whole_result_equals_the_plain_form(spark):
+    """Counts, profiles, distances, ties and scores of all documents, in plain Python."""
+    folder = "/root/testdata/sf0.001"
+    docs = [r.asDict() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    counts = [plain_counts(d["text"]) for d in docs]
+
+    def top(c):
+        return sorted(c, key=lambda g: (-c[g], len(g), g))[: rp.PROFILE]
+
+    learned = {}
+    for d, c in zip(docs, counts):
+        if d["lang"] is not None and zlib.crc32(str(d["doc_id"]).encode()) % 4 != 2:
+            learned.setdefault(d["lang"], Counter()).update(c)
+    ranks = {lang: {g: i for i, g in enumerate(top(c))} for lang, c in learned.items()}
+    expected = []
+    for d, c in zip(docs, counts):
+        away = sorted(
+            (sum(abs(r[g] - i) if g in r else rp.PROFILE for i, g in enumerate(top(c))), lang)
+            for lang, r in ranks.items()
+        )
+        held = zlib.crc32(str(d["doc_id"]).encode()) % 4 == 2
+        if not c:
+            expected.append((d["doc_id"], held, "und", 0.0))
+        else:
+            score = 1 - away[0][0] / away[1][0]
+            expected.append((d["doc_id"], held, away[0][1], math.floor(score * 1e6 + 0.5) / 1e6))
+    from nomenlink.llm.queries import op8_rank_profiles
+
+    assert sorted(map(tuple, op8_rank_profiles(spark, folder).collect())) == sorted(expected)
 
 
 def test_distance_is_out_of_place():
