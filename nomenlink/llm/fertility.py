@@ -292,12 +292,12 @@ def _judged(docs: DataFrame, folder: str | None, *columns: Column | str) -> Data
 
 
 def judge(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """``doc_id``, counts, measures, ``band``, ``base_failed`` and ``kept`` of every document.
+    """``doc_id``, counts, ``base_failed``, ``kept``, measures and ``band`` of every document.
 
     ``docs`` has doc_id, text and lang.
     """
     found = _judged(docs, folder, "doc_id")
-    return found.select("doc_id", *COUNTS, *MEASURES, "band", "base_failed", "kept")
+    return found.select("doc_id", *COUNTS, "base_failed", "kept", *MEASURES, "band")
 
 
 def filter_documents(docs: DataFrame, folder: str | None = None) -> DataFrame:
