@@ -7,7 +7,8 @@ marginals of "good", weighted by line length, passed through a logistic calibrat
 is fitted on the training documents.
 
 Defined results: a null or wordless text has score 0. Labels that are null or other than
-0 and 1 teach nothing; contradicting labels of one id count by their mean. Lines of any
+0 and 1 teach nothing; contradicting labels of one id count by their mean. Without
+labels of both classes all documents have one score, and a filter keeps them all. Lines of any
 length and documents of any number of lines are scored whole.
 """
 
@@ -314,13 +315,14 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
                 }
             )
 
-    schema = "doc_id long, quality double, lines long, f binary, n binary"
+    kind = own.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, quality double, lines long, f binary, n binary"
     made = written(sample.mapInPandas(features, schema), "features")
     order = made.select("doc_id", "lines", F.xxhash64("doc_id").alias("hash")).collect()
     order.sort(key=lambda r: (r.hash, r.doc_id))
     fits = np.cumsum([r.lines for r in order]) <= FIT_ALL_LINES
     # A table of ids, not a list in the plan.
-    chosen = spark.createDataFrame([(r.doc_id,) for r, fit_in in zip(order, fits) if fit_in], "doc_id long")
+    chosen = spark.createDataFrame([(r.doc_id,) for r, fit_in in zip(order, fits) if fit_in], f"doc_id {kind}")
     rows = made.join(F.broadcast(chosen), "doc_id", "left_semi").collect()
     rows.sort(key=lambda r: (r.doc_id, r.n, r.f))
     if not rows:
@@ -350,7 +352,12 @@ def score_quality(
 
 
 def filter_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score at least the threshold, with all their columns."""
+    """The documents that score at least the threshold, with all their columns.
+
+    A model that no label could teach anything rejects none.
+    """
+    if not model.slope:
+        return docs
     # The columns travel in a struct, so that no name can clash.
     rows = docs.select("text", F.struct(*docs.columns).alias("row"))
     return score_quality(rows, model).where(F.col("score") >= threshold).select("row.*")

@@ -125,3 +125,23 @@ def test_the_sample_is_of_labelled_texts_and_bounded_in_lines(spark, monkeypatch
     monkeypatch.setattr(lc, "FIT_ALL_LINES", 610)
     lc.train(many, labels)
     assert len(seen[1]) == 30 and set(seen[1]) == {20}
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1)], [(900, 0), (901, 1)], [(1, None), (2, 7)]])
+def test_a_filter_without_evidence_keeps_all(spark, labels):
+    docs = spark.createDataFrame([(i, f"line {i}\nother", i) for i in range(9)], "doc_id long, text string, x int")
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    model = lc.train(docs, known)
+    assert sorted(map(tuple, lc.filter_documents(docs, model).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_text_ids(spark):
+    rows = [(i, "good words stand in this line.\n" * 3 if i % 2 else "#$% |&* ##\n" * 3, i % 2) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    texts = frame.withColumn("doc_id", frame.doc_id.cast("string"))
+    a, b = (
+        {int(r.doc_id): (r.held_out, round(r.score, 6)) for r in lc.classify(x.drop("quality"), x.drop("text")).collect()}
+        for x in (frame, texts)
+    )
+    assert {k: v[0] for k, v in a.items()} == {k: v[0] for k, v in b.items()}
+    assert all((b[i][1] >= 0.5) == bool(i % 2) for i in b)
