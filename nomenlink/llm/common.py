@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import shared_dir
 
-# Rows that a Python worker gets at once; with long texts a batch stays a few MB.
+# Rows that a Python worker gets at once, and their bytes, which long texts reach first.
 BATCH_ROWS = 256
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch, and so the memory of a Python worker."""
+    """Bound the rows and bytes of an Arrow batch, and so the memory of a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 # What a worker remembers and can load or compute again.

@@ -13,13 +13,13 @@ that agree on a whole band meet in a bucket. A bucket proposes pairs in two pass
    samples, if those are at least ``ALIKE`` of all. So a group of copies proposes one pair
    per text, not all pairs. The pairs are verified and give components.
 2. Buckets that still have several components get the shingles of their texts. Their
-   tasks verify all pairs of different components that agree on ``ALIKE`` samples, and
-   give back the links that connect components, not the pairs.
+   tasks verify all pairs of different components that share a band, but for those whose
+   total weights alone rule out a link, and give back the links that connect components,
+   not the pairs.
 
 Every link is verified by the exact weighted Jaccard similarity of whole texts. A pair of
-0.8 exactly misses every band with a probability of 0.0002 and shares one but falls below
-``ALIKE`` with one of 0.00004; both fall steeply above. Large buckets are worked on in blocks; nothing is
-capped.
+0.8 exactly misses every band with a probability of 0.0002, which falls steeply above.
+Large buckets are worked on in blocks; no pair of a band is left out.
 
 Texts of equal word sequences are one node from the start, whatever their number.
 
@@ -36,7 +36,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,7 +56,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 16
 ROWS = 4
-# Samples that two texts must share to be compared: four deviations below the mean at 0.8.
+# Samples that two texts must share to be proposed as partners in the first pass: four
+# deviations below the mean at 0.8. The second pass compares what was not proposed.
 ALIKE = 38
 # Texts of a bucket that one task compares by samples, and by shingles with as many others.
 BLOCK = 2048
@@ -328,12 +329,15 @@ def _links_across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         within = group["block"][0] == group["other"][0]
         side = group["side"]
         others = np.flatnonzero(part != np.bincount(part).argmax())
+        total = np.array([np.frombuffer(w).sum() for w in group["weights"]])
         done = np.zeros(len(nodes), bool)
         links = []
         for i in others.tolist():
             done[i] = True
             agreed = samples == samples[i]
-            able = (part != part[i]) & ~done & (agreed.sum(1) >= ALIKE)
+            # No similarity exceeds the ratio of the total weights.
+            ratio = np.minimum(total, total[i]) / np.maximum(total, total[i])
+            able = (part != part[i]) & ~done & (ratio >= THRESHOLD - 1e-6)
             if not within:
                 able &= side != side[i]
             # A pair that agrees on several bands is compared in the first of them.
@@ -462,6 +466,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     more = meeting.repartition(*by).sortWithinPartitions(*by).mapInPandas(_links_across, _PAIR)
     more = written(more.distinct(), "more_links")
+    # Nothing below reads texts; workers need the table no more.
+    idf.unpersist()
     if more.limit(1).count():
         parts = components(links.unionByName(more))
 
@@ -501,7 +507,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     # Rows of equal id and words are the only ones left to choose from.
     again = written(ours.groupBy(*key).count().where("count > 1").drop("count"), "repeated")
     if again.limit(1).count():
-        order = Window.partitionBy(*key).orderBy("text")
-        more = ours.join(again, key, "left_semi").withColumn("nth", F.row_number().over(order))
-        ours = ours.join(again, key, "left_anti").unionByName(more.where("nth = 1").drop("nth"))
+        # Map-side, so that a row repeated very often meets its copies one per task.
+        more = ours.join(again, key, "left_semi").groupBy(*key).agg(F.min_by("rest", "text").alias("rest"))
+        ours = ours.join(again, key, "left_anti").select("rest").unionByName(more.select("rest"))
     return ours.select("rest.*").unionByName(alone)
