@@ -17,32 +17,46 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose lines the conditional random field finds good."""
+    """Documents whose lines the conditional random field finds good.
+
+    Null and wordless texts score 0 and go; repeated rows share one fate. Without labels of
+    both classes all documents stay.
+    """
     model = line_crf.train(docs, table(spark, sf_dir, "labels"))
     return line_crf.filter_documents(docs, model)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents inside the base rules and the bands of tokeniser fertility."""
+    """Documents inside the base rules and the bands of tokeniser fertility.
+
+    Null and short texts fail the base rules and go; repeated rows share one fate.
+    """
     return fertility.filter_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, of repeated rows one.
+
+    Null and wordless texts are no copies of each other and stay.
+    """
     return weighted_minhash.deduplicate(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of passages; the first copy stays.
 
-    A document stays even if nothing of its text is left. ``n_chars`` follows the text.
+    A document stays even if nothing of its text is left, and of rows of equal id and text
+    all but one are emptied. ``n_chars`` follows the text where there is such a column, and
+    stays null with a null text.
     """
     cleaned = suffix_dedup.remove_repeats(docs)
+    if "n_chars" not in docs.columns:
+        return cleaned
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in few sequences."""
+    """Pieces of all documents in few sequences; a null text is packed as an empty one."""
     return packing.pack(docs)
 
 
@@ -54,8 +68,9 @@ STAGES: list[tuple[str, Stage]] = [
     ("best-fit packing", best_fit_packing),
 ]
 
-# The classifier, the samplings and the packing search have no SQL form; tests hold every
-# stage against a brute-force version.
+# The classifier, the samplings and the packing search have no SQL form. Tests hold the
+# deduplications and the packing against brute force, and the two filters against their own
+# operators, whose parts are tested against plain forms.
 ORACLE_SQL = None
 
 
