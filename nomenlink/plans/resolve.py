@@ -92,15 +92,34 @@ def resolve_names(
     ``checked`` may be the ``links`` of an earlier run: what the crosswalk answered then.
     Those codes are not looked up again, and the rows that have them get the old answers.
     """
-    used = check_columns(names, sci_col, comm_col)
+    check_columns(names, sci_col, comm_col)
     check_names_free(names)
     if only not in (None, "resolved", "ambiguous"):
         raise ValueError(f"no such result: {only!r}")
     pairs = stage_pairs(names, sci_col, comm_col, sci_filters, comm_filters)
     cands, links = resolve_with_links(pairs.frame, authorities, checked, broadcast_bytes)
 
-    raw = {sci_col: "sci_raw", comm_col: "comm_raw"}
-    keys = [(c, raw[c]) for c in used]
+    result = put_together(
+        names, pairs, cands, {"sci_raw": sci_col, "comm_raw": comm_col}, debug, broadcast_bytes, only, listed
+    )
+    return result._replace(links=links)
+
+
+def put_together(
+    names: DataFrame,
+    pairs: Staged,
+    cands: DataFrame,
+    columns: dict[str, str | None],
+    debug: bool = False,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    only: str | None = None,
+    listed: int = LISTED,
+) -> Resolved:
+    """Both results of the input rows from the candidates of their pairs, by the pair's ``id``.
+
+    ``columns`` gives the input column of each raw name column of the pairs, if it has one.
+    """
+    keys = [(c, raw) for raw, c in columns.items() if c is not None]
     lookup_keys = [b for _, b in keys]
     ids = pairs.frame.select("id", *lookup_keys)
 
@@ -128,7 +147,7 @@ def resolve_names(
     resolved = with_flags(both.select(*inputs, *codes))
     resolved = resolved.select(*inputs, *WIDE_COLUMNS, *FLAG_COLUMNS, stamp)
     if only == "resolved":
-        return Resolved(resolved, None, links)
+        return Resolved(resolved, None)
     ambiguous = both.select(*inputs, F.inline(answer["report"]))
     unlisted = found.frame.where(answer["unlisted"]).select(answer["id"].alias("id"))
     if unlisted.limit(1).count():
@@ -138,7 +157,7 @@ def resolve_names(
         more = attach(more, entries, [(ANSWER, "id")], "inner", per_id, broadcast_bytes)
         ambiguous = ambiguous.unionByName(more.select(*ambiguous.columns))
     ambiguous = ambiguous.select(*inputs, *REPORT_COLUMNS, stamp)
-    return Resolved(None if only else resolved, ambiguous, links)
+    return Resolved(None if only else resolved, ambiguous)
 
 
 def stage_pairs(
@@ -181,7 +200,17 @@ def resolve_with_links(
     )
     decided = stage(search_all(pairs, authorities), "decided")
     links = stage(cross_all(decided.frame, authorities, checked), "links")
+    return choose(pairs, decided, links, broadcast_bytes), links.frame
+
+
+def choose(
+    pairs: DataFrame, decided: Staged, links: Staged, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """The candidates of the answering search of ``id, sci_clean, comm_clean`` rows.
 
+    ``decided`` and ``links`` hold what the searches of all their names and the crosswalk of
+    all their codes gave.
+    """
     # One row of facts per name tells which search answers for a pair.
     linked = with_link_facts(decided.frame, links.frame)
     facts = stage_unless_small(name_facts(linked), "name_facts", decided, broadcast_bytes)
@@ -232,7 +261,7 @@ def resolve_with_links(
     sure = F.col("code_definitive")
     exact = prefer_exact_spelling(found.where(~sure))
     result = found.where(sure).unionByName(exact).select("id", *CODE_COLUMNS)
-    return result.distinct(), links.frame
+    return result.distinct()
 
 
 def search_all(pairs: DataFrame, authorities: Authorities) -> DataFrame:
@@ -240,6 +269,11 @@ def search_all(pairs: DataFrame, authorities: Authorities) -> DataFrame:
 
     The names are written once, as every search reads them.
     """
+    return search_names(stage(names_of(pairs), "names").frame, authorities)
+
+
+def names_of(pairs: DataFrame) -> DataFrame:
+    """Each cleaned name of either kind once, as ``kind, name``."""
     columns = zip(KINDS, ("sci_clean", "comm_clean"))
     long = pairs.select(
         F.inline(
@@ -248,7 +282,11 @@ def search_all(pairs: DataFrame, authorities: Authorities) -> DataFrame:
             )
         )
     )
-    names = stage(long.where(F.col("name").isNotNull()).distinct(), "names").frame
+    return long.where(F.col("name").isNotNull()).distinct()
+
+
+def search_names(names: DataFrame, authorities: Authorities) -> DataFrame:
+    """As ``search_all`` for written ``kind, name`` rows."""
 
     def both(search: Callable[[DataFrame, Authorities, str], DataFrame]) -> DataFrame:
         sci, comm = (
@@ -283,15 +321,25 @@ def cross_all(
     Where a code leads to definitive ones, its other links are dropped. Codes that the
     saved links ``checked`` answer are not looked up; their answers are taken from there.
     """
-    may_be = F.col("code_definitive") | F.coalesce("several", F.lit(False))
-    sent = decided.where(may_be).select("code_type", "code")
+    sent = codes_to_send(decided)
     if checked is not None:
         sent = unchecked_codes(sent, sent_before(checked))
+    links = cross_codes(sent, authorities)
+    return links if checked is None else links.unionByName(checked.select(*links.columns))
+
+
+def codes_to_send(decided: DataFrame) -> DataFrame:
+    """The ``code_type, code`` of candidates that are, or may become, definitive."""
+    may_be = F.col("code_definitive") | F.coalesce("several", F.lit(False))
+    return decided.where(may_be & F.col("code").isNotNull()).select("code_type", "code").distinct()
+
+
+def cross_codes(sent: DataFrame, authorities: Authorities) -> DataFrame:
+    """What each distinct ``code_type, code`` leads to in the other code type."""
     aphias = distinct_keys(sent.where(F.col("code_type") == APHIAID), "code", "code")
     tsns = distinct_keys(sent.where(F.col("code_type") == TSN), "code", "code")
     links = tsn_links(aphias, authorities).unionByName(aphia_links(tsns, authorities))
-    links = keep_if_any(links, ["sent", "code_type"], F.col("code_definitive"))
-    return links if checked is None else links.unionByName(checked.select(*links.columns))
+    return keep_if_any(links, ["sent", "code_type"], F.col("code_definitive"))
 
 
 def sent_before(links: DataFrame) -> DataFrame:
