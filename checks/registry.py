@@ -5,7 +5,9 @@ Single rules run on the lazily derived snapshots; whole resolutions on written o
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ from nomenlink.operators.lookups import (
 )
 from nomenlink.operators.policies import CODE_COLUMNS, TSN, APHIAID
 from nomenlink.plans.resolve import resolve_pairs, search_all
-from nomenlink.sources.staging import stage
+from nomenlink.sources.staging import shared_dir, stage
 
 from . import fixtures as fx
 from .oracles import USER_FILTERS, VERSION_STAMP, query
@@ -557,6 +559,29 @@ def resolved_second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).resolved
 
 
+@register(f"SELECT w.*, '{VERSION_STAMP}' AS id_src FROM wide w")
+def resolved_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All names, over a store that knows the customers' from snapshots of before.
+
+    Since then, records were accepted and crosswalk lines added and dropped.
+    """
+    rows, now = fx.names(spark, sf_dir), fx.authorities(spark, sf_dir, written=True)
+    old_status = F.when(F.col("aphia_id") % 50 == 3, "unaccepted").otherwise(F.col("status"))
+    before = replace(
+        now,
+        worms_taxa=now.worms_taxa.withColumn("status", old_status),
+        xwalk=now.xwalk.where("tsn % 40 <> 7").unionByName(
+            now.xwalk.where("tsn % 40 = 9").withColumn("tsn", F.col("tsn") + 1)
+        ),
+    )
+    store = nl.AnswerStore.create(spark, f"{shared_dir(spark)}/nomenlink/{uuid.uuid4().hex}/store")
+    known = rows.where("row_key > 10000000")
+    nl.resolve_incrementally(known, before, store, "sci_name", "comm_name", only="resolved")
+    return nl.resolve_incrementally(
+        rows, now, store, "sci_name", "comm_name", only="resolved"
+    ).resolved
+
+
 @register(
     """SELECT w.row_key, w.sci_name, w.aphiaid, w.aphiaid_definitive, w.tsn, w.tsn_definitive,
   w.aphiaid_multi_flag, w.tsn_multi_flag, 'nomenlink.resolve_names (DEBUG)' AS id_src
