@@ -300,17 +300,21 @@ FROM input i JOIN by_itis b ON (b.kind = 'scientific' AND b.name = i.sci) OR (b.
 VERSION_STAMP = "nomenlink.resolve_names (v0.1.0)"
 
 
-def query(text: str) -> str:
-    """Put the views that a query needs, and all that those need, in front of it."""
-    order = list(VIEWS)
+def query(text: str, **instead: str) -> str:
+    """Put the views that a query needs, and all that those need, in front of it.
+
+    ``instead`` gives some views another text.
+    """
+    views = VIEWS | instead
+    order = list(views)
     needed, seen = [text], set()
     while needed:
         source = needed.pop()
         for name in order:
             if name not in seen and _mentions(source, name):
                 seen.add(name)
-                needed.append(VIEWS[name])
-    parts = [f"{n} AS MATERIALIZED ({VIEWS[n].strip()})" for n in order if n in seen]
+                needed.append(views[name])
+    parts = [f"{n} AS MATERIALIZED ({views[n].strip()})" for n in order if n in seen]
     return "WITH " + ",\n".join(parts) + "\n" + text.strip() if parts else text.strip()
 
 

@@ -39,10 +39,10 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(sql: str) -> Callable[[Query], Query]:
+def register(sql: str, **instead: str) -> Callable[[Query], Query]:
     def add(run: Query) -> Query:
         QUERIES[run.__name__] = run
-        ORACLES[run.__name__] = query(sql)
+        ORACLES[run.__name__] = query(sql, **instead)
         return run
 
     return add
@@ -585,11 +585,12 @@ def resolved_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     """SELECT w.row_key, w.sci_name, w.aphiaid, w.aphiaid_definitive, w.tsn, w.tsn_definitive,
   w.aphiaid_multi_flag, w.tsn_multi_flag, 'nomenlink.resolve_names (DEBUG)' AS id_src
-FROM wide w WHERE w.comm_name IS NULL"""
+FROM wide w""",
+    fx_names=f"SELECT row_key, sci_name, CAST(NULL AS VARCHAR) AS comm_name FROM ({fx.FIXTURE_SQL['fx_names']})",
 )
 def resolved_one_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scientific names alone, with the debug stamp."""
-    rows = fx.names(spark, sf_dir).where("comm_name IS NULL").select("row_key", "sci_name")
+    """All rows by their scientific names alone, with the debug stamp."""
+    rows = fx.names(spark, sf_dir).select("row_key", "sci_name")
     found = nl.resolve_names(
         rows, fx.authorities(spark, sf_dir, written=True), sci_col="sci_name", debug=True,
         only="resolved",

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,9 +118,13 @@ def check_filters(spark: SparkSession, filters: Sequence[str]) -> tuple[str, ...
         raise ValueError("filters must be a sequence of patterns, not one string")
     checked = tuple(filters or ())
     for pattern in checked:
+        # Over a literal row the pattern is compiled while planning, without a Spark job.
+        tried = "SELECT regexp_replace(x, :pattern, '') FROM VALUES ('x') AS t(x)"
         try:
-            spark.range(1).select(F.regexp_replace(F.lit("x"), pattern, "")).collect()
-        except Exception as error:
+            spark.sql(tried, args={"pattern": pattern}).collect()
+        except PySparkException as error:
+            if error.getCondition() != "INVALID_PARAMETER_VALUE.PATTERN":
+                raise
             raise ValueError(f"not a valid pattern: {pattern!r}") from error
     return checked
 
