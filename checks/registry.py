@@ -549,6 +549,16 @@ def resolved_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).resolved
 
 
+@register(f"SELECT w.*, '{VERSION_STAMP}' AS id_src FROM wide w")
+def resolved_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole resolution over snapshots written in the layout of their lookups."""
+    folder = f"{shared_dir(spark)}/nomenlink/{uuid.uuid4().hex}/prepared"
+    prepared = nl.PreparedAuthorities.prepare(fx.authorities(spark, sf_dir, written=True), folder)
+    return nl.resolve_names(
+        fx.names(spark, sf_dir), prepared, "sci_name", "comm_name", only="resolved"
+    ).resolved
+
+
 @register(f"SELECT w.*, '{VERSION_STAMP}' AS id_src FROM wide w")
 def resolved_second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All names, after a run over the customers' alone whose crosswalk answers are kept."""

@@ -24,10 +24,11 @@ from .plans.incremental import AnswerStore, resolve_incrementally
 from .plans.resolve import resolve_names
 from .sources.authorities import Authorities
 from .sources.names import with_row_id
+from .sources.prepared import PreparedAuthorities
 from .version import __version__
 
 __all__ = [
-    "AnswerStore", "Authorities", "Resolved", "__version__", "assemble", "clean_names",
+    "AnswerStore", "Authorities", "PreparedAuthorities", "Resolved", "__version__", "assemble", "clean_names",
     "combine_services", "decide_best", "decide_itis", "decide_worms",
     "decide_worms_common", "flag_ambiguous", "invert_comma", "keep_if_any",
     "prefer_exact_spelling", "resolve_incrementally", "resolve_names", "review_spelling", "select_candidates", "sent_codes",

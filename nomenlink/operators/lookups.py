@@ -24,10 +24,11 @@ def search_worms(names: DataFrame, authorities: Authorities, kind: str) -> DataF
 
     Gives ``name, kind, status, valid_aphia_id, valid_name``, one row per record.
     """
-    taxa = authorities.worms_taxa
     if kind == "scientific":
+        taxa = authorities.taxa_by_name
         found = names.join(taxa, names["name"] == taxa["scientificname"])
     else:
+        taxa = authorities.worms_taxa
         known = authorities.worms_vernacular
         ids = names.join(known, names["name"] == known["vernacular"])
         found = ids.select("name", "aphia_id").distinct().join(taxa, "aphia_id")
@@ -180,10 +181,9 @@ def tsns_of(codes: DataFrame, authorities: Authorities) -> DataFrame:
 
 def records_of(codes: DataFrame, authorities: Authorities) -> DataFrame:
     """All WoRMS records of each distinct TSN in ``code``; nulls where there is none."""
-    links = authorities.xwalk.distinct()
+    links = authorities.links_by_tsn
+    # Only links of the codes go on to their records.
+    crossed = codes.join(links, codes["code"] == links["tsn"]).select("code", "aphia_id").distinct()
     taxa = authorities.worms_taxa.select("aphia_id", "valid_aphia_id", "valid_name")
-    records = links.join(taxa, "aphia_id")
-    found = codes.join(records, codes["code"] == records["tsn"], "left").select(
-        "code", "aphia_id", "valid_aphia_id", "valid_name"
-    )
-    return found.distinct()
+    found = crossed.join(taxa, "aphia_id").select("code", *taxa.columns).distinct()
+    return codes.join(found, "code", "left")

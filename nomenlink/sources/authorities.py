@@ -61,6 +61,16 @@ class Authorities:
         names = [n for n in _TABLES if best_match or n != "worms_best_match"]
         return cls(**{n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names})
 
+    @property
+    def taxa_by_name(self) -> DataFrame:
+        """The taxa, in the order for a search by scientific name if there is one."""
+        return self.worms_taxa
+
+    @property
+    def links_by_tsn(self) -> DataFrame:
+        """The crosswalk, in the order for a search by TSN if there is one."""
+        return self.xwalk
+
     def staged(self) -> Authorities:
         """The same snapshots, written once: for authorities that are costly to derive."""
         tables = {f.name: getattr(self, f.name) for f in fields(self)}
