@@ -559,6 +559,19 @@ def resolved_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).resolved
 
 
+@register(f"SELECT w.*, '{VERSION_STAMP}' AS id_src FROM wide w")
+def resolved_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole resolution, started again over the steps that a first start wrote."""
+    rows, snapshots = fx.names(spark, sf_dir), fx.authorities(spark, sf_dir, written=True)
+    folder = f"{shared_dir(spark)}/nomenlink/{uuid.uuid4().hex}/runs"
+    columns = {"sci_col": "sci_name", "comm_col": "comm_name", "only": "resolved"}
+    _, first = nl.resolve_resumably(rows, snapshots, folder, **columns)
+    found, again = nl.resolve_resumably(rows, snapshots, folder, **columns)
+    if again.made or again.reused != first.made:
+        raise RuntimeError("the second start did not take the steps of the first one")
+    return found.resolved
+
+
 @register(f"SELECT w.*, '{VERSION_STAMP}' AS id_src FROM wide w")
 def resolved_second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All names, after a run over the customers' alone whose crosswalk answers are kept."""

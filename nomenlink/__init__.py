@@ -22,6 +22,7 @@ from .operators.policies import (
 )
 from .plans.incremental import AnswerStore, resolve_incrementally
 from .plans.resolve import resolve_names
+from .plans.resumable import resolve_resumably
 from .sources.authorities import Authorities
 from .sources.names import with_row_id
 from .sources.prepared import PreparedAuthorities
@@ -31,7 +32,8 @@ __all__ = [
     "AnswerStore", "Authorities", "PreparedAuthorities", "Resolved", "__version__", "assemble", "clean_names",
     "combine_services", "decide_best", "decide_itis", "decide_worms",
     "decide_worms_common", "flag_ambiguous", "invert_comma", "keep_if_any",
-    "prefer_exact_spelling", "resolve_incrementally", "resolve_names", "review_spelling", "select_candidates", "sent_codes",
-    "split_known_unknown", "strip_redundant", "unchecked_codes", "with_row_id",
+    "prefer_exact_spelling", "resolve_incrementally", "resolve_names", "resolve_resumably",
+    "review_spelling", "select_candidates", "sent_codes", "split_known_unknown",
+    "strip_redundant", "unchecked_codes", "with_row_id",
     "xwalk_aphia", "xwalk_tsn",
 ]

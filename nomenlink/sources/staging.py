@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .runs import current_run
+
 _SETTING = "spark.checkpoint.dir"
 
 
@@ -48,23 +50,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write the frame once and read it back."""
+    """Write the frame once and read it back. Inside a run it is a step of that run."""
+    if current_run() is not None:
+        return stage(df, label).frame
     path = f"{shared_dir(df.sparkSession)}/nomenlink/{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stage(df: DataFrame, label: str) -> Staged:
-    """Write the frame once, measuring it on the way, and read it back."""
+    """Write the frame once, measuring it on the way, and read it back.
+
+    Inside a run it is a step of that run, and read only if it is whole already.
+    """
+    run, spark = current_run(), df.sparkSession
+    columns = df.schema.json()
+    if run is None:
+        step = None
+        path = f"{shared_dir(spark)}/nomenlink/{uuid.uuid4().hex}/{label}"
+    else:
+        step = run.next(label, columns)
+        path = step.path
+        if step.whole:
+            return Staged(spark.read.schema(df.schema).parquet(path), step.rows, step.bytes)
     seen = Observation()
     measured = df.observe(
         seen,
         F.count(F.lit(1)).alias("rows"),
         F.sum(_row_bytes(df)).alias("bytes"),
     )
-    frame = written(measured, label)
+    measured.write.parquet(path)
     found = seen.get
-    return Staged(frame, found["rows"], found["bytes"] or 0)
+    rows, size = found["rows"], found["bytes"] or 0
+    if run is not None:
+        run.finish(step, label, columns, rows, size)
+    return Staged(spark.read.schema(df.schema).parquet(path), rows, size)
 
 
 def stage_unless_small(df: DataFrame, label: str, source: Staged, limit: int) -> Staged:
