@@ -1,8 +1,9 @@
 """Counting tests over groups of candidates.
 
-Each test is a map-side aggregate joined back to its rows. No group is sorted or held as
-a window over it would be; where the join shuffles, adaptive execution splits a large
-group over several tasks.
+Each test writes its rows, and joins a map-side aggregate of them back. So what gives the
+rows runs once, however many tests follow each other, and rows move once, in the join. No
+group is sorted or held as a window over it would be; where the join shuffles, adaptive
+execution splits a large group over several tasks.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import written
+
 
 def count_if(predicate: Column) -> Column:
     """Rows where the predicate holds; null counts as false."""
@@ -22,6 +25,7 @@ def with_group_stats(
     df: DataFrame, keys: Sequence[str], **stats: Column
 ) -> DataFrame:
     """Add aggregates of each row's group. The key columns must not hold nulls."""
+    df = written(df, "grouped")
     groups = df.groupBy(*keys).agg(*(c.alias(name) for name, c in stats.items()))
     return df.join(groups, list(keys))
 
@@ -52,6 +56,7 @@ def keep_best_tier(
     df: DataFrame, keys: Sequence[str], tier: str, **stats: Column
 ) -> DataFrame:
     """Keep each group's rows of the lowest tier, with aggregates over those rows."""
+    df = written(df, "tiers")
     per_tier = df.groupBy(*keys, tier).agg(*(c.alias(n) for n, c in stats.items()))
     best = per_tier.groupBy(*keys).agg(F.min(F.struct(tier, *stats)).alias("_best"))
     best = best.select(*keys, "_best.*")

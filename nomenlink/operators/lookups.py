@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.authorities import Authorities
+from ..sources.staging import written
 from .prefixes import prefix_matches
 
 
@@ -88,6 +89,7 @@ def derive_best_match(names: DataFrame, authorities: Authorities, kind: str) ->
 
 def verify_match(matches: DataFrame, authorities: Authorities) -> DataFrame:
     """Add the valid id and name of the matched record; both null unless both exist."""
+    matches = written(matches, "matches")
     taxa = authorities.worms_taxa.select("aphia_id", "valid_aphia_id", "valid_name")
     both = F.col("valid_aphia_id").isNotNull() & F.col("valid_name").isNotNull()
     taxa = taxa.join(matches.select("aphia_id").distinct(), "aphia_id", "left_semi").distinct()
@@ -111,6 +113,7 @@ def search_itis_shortest(
     known = _itis_known(authorities).withColumn("name", F.col("text"))
     exact = names.join(known, ["kind", "name"])
     exact = exact.select("name", "kind", "tsn", F.col("text").alias("found_name")).distinct()
+    exact = written(exact, "exact")
     others = names.join(exact.select("kind", "name"), ["kind", "name"], "left_anti")
     return exact.unionByName(search_itis(others, authorities))
 
@@ -158,6 +161,7 @@ def _ratings(units: DataFrame) -> DataFrame:
 
 def with_usage(found: DataFrame, authorities: Authorities) -> DataFrame:
     """Add ``is_valid`` to rows with a ``tsn``; false where the TSN is not rated."""
+    found = written(found, "found")
     # Rows without a TSN would all meet in one task of the join.
     coded = found.where(F.col("tsn").isNotNull())
     wanted = authorities.itis_units.join(coded.select("tsn").distinct(), "tsn", "left_semi")

@@ -40,6 +40,26 @@ def test_preference_equals_keep_if_any_in_turn(spark):
     assert all(r["n"] == counts[r["k"]] for r in got)
 
 
+def test_group_tests_in_turn_run_their_input_once(spark):
+    lines = spark.range(40).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
+    once = lines.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+
+    def reads(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("Range ("), plan.count("Relation [")
+
+    kept = once
+    for least in (10, 20, 30):
+        kept = keep_if_any(kept, ["k"], F.col("v") >= least)
+        # The rows and their groups, read from what was written.
+        assert reads(kept) == (0, 2)
+    tiers = keep_best_tier(kept.withColumn("t", preference(F.col("v") > 35)), ["k"], "t", m=F.max("v"))
+    assert reads(tiers) == (0, 2)
+    best = {k: [v for v in range(30, 40) if v % 7 == k] for k in range(7)}
+    want = {v for vs in best.values() for v in ([v for v in vs if v > 35] or vs)}
+    assert {r["v"] for r in tiers.collect()} == want
+
+
 def shape(df, columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
 
