@@ -50,7 +50,9 @@ def register(sql: str, **instead: str) -> Callable[[Query], Query]:
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixture rows as ``id, sci_clean, comm_clean``, at least one not null."""
-    rows = nl.strip_redundant(fx.names(spark, sf_dir), "sci_name", "comm_name", "own")
+    # The tables may come in few parts, and cleaning is the most work on a row.
+    rows = fx.names(spark, sf_dir).repartition("row_key")
+    rows = nl.strip_redundant(rows, "sci_name", "comm_name", "own")
     rows = nl.clean_names(rows, "sci_name", "scientific", output="sci_clean")
     rows = nl.clean_names(rows, "own", "common", output="comm_clean")
     rows = rows.select(F.col("row_key").alias("id"), "sci_clean", "comm_clean")
@@ -315,10 +317,12 @@ def unchecked_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- work on candidates ------------------------------------------------------------
 
 
-def all_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every answer of every name search, for every row, before any is chosen."""
-    rows = cleaned(spark, sf_dir)
-    rows = stage(rows, "rows").frame
+def all_found(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Every answer of every name search, for every row, before any is chosen.
+
+    ``rows`` may give the cleaned rows, written already.
+    """
+    rows = stage(cleaned(spark, sf_dir), "rows").frame if rows is None else rows
     found = stage(search_all(rows, fx.authorities(spark, sf_dir, written=True)), "found").frame
     long = rows.select(
         "id", "sci_clean", "comm_clean",
@@ -364,8 +368,9 @@ GROUP BY a.id, code, type, sure, src, sugg, i.sci, i.comm"""
 )
 def split_with_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The split with a master list that lacks a third of the ids."""
-    found = all_found(spark, sf_dir)
-    master = cleaned(spark, sf_dir).where("id % 3 <> 0")
+    rows = stage(cleaned(spark, sf_dir), "rows").frame
+    found = all_found(spark, sf_dir, rows)
+    master = rows.where("id % 3 <> 0")
     known, unknown = nl.split_known_unknown(found.select("id", *CODE_COLUMNS), master)
     known = known.withColumn("is_known", F.lit(True))
     return known.unionByName(unknown.withColumn("is_known", F.lit(False))).select(

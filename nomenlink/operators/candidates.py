@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cleaning import review_suggestion
+from ..sources.staging import shuffled, written
 from .groups import keep_if_any, with_group_stats
 from .policies import CODE_COLUMNS
 
@@ -64,18 +65,21 @@ def split_known_unknown(cands: DataFrame, master: DataFrame | None = None) -> Sp
     attached: definitive candidates of ids that it lacks are left out, unknowns stay with
     null names.
     """
-    known = cands.where(_is_definitive())
+    listed = F.lit(True)
     if master is not None:
-        names = master.select("id", "sci_clean", "comm_clean")
-        known = names.join(known.select("id", *CODE_COLUMNS), "id")
-        cands = names.join(cands.select("id", *CODE_COLUMNS), "id", "right")
-    known = known.distinct()
+        names = master.select("id", "sci_clean", "comm_clean", F.lit(True).alias("_listed"))
+        cands = names.join(shuffled(cands.select("id", *CODE_COLUMNS)), "id", "right")
+        listed = F.col("_listed").isNotNull()
+    # Both parts read the candidates, and the unknown ones read the known.
+    cands = written(cands, "to_split")
+    known = written(cands.where(_is_definitive() & listed).drop("_listed").distinct(), "known")
+    cands = cands.drop("_listed")
     resolved = known.select(
         F.col("id").alias("_id"), F.col("code_type").alias("_type")
     ).distinct()
     unknown = cands.where(~_is_definitive())
     unknown = unknown.join(
-        resolved,
+        shuffled(resolved),
         (unknown["id"] == resolved["_id"])
         & unknown["code_type"].eqNullSafe(resolved["_type"]),
         "left_anti",
@@ -120,4 +124,4 @@ def unchecked_codes(codes: DataFrame, checked: DataFrame | None) -> DataFrame:
     """Leave out ``(code_type, code)`` pairs that an earlier run has sent already."""
     if checked is None:
         return codes
-    return codes.join(checked, ["code_type", "code"], "left_anti")
+    return codes.join(shuffled(checked), ["code_type", "code"], "left_anti")
