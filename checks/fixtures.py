@@ -108,7 +108,7 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def authorities(
     spark: SparkSession, sf_dir: str, best: bool = True, written: bool = False
 ) -> Authorities:
-    """The snapshots. ``written`` stages their common base, for plans that reread it."""
+    """The snapshots. ``written`` stages what they come from, for plans that reread it."""
     base = spark.sql(
         FIXTURE_SQL["fx_base"].replace("FROM part", "FROM {part}"),
         part=table(spark, sf_dir, "part"),
@@ -119,6 +119,8 @@ def authorities(
     )
     if written:
         base = stage(base, "fixture_base").frame
+        # The customers may come in few parts, which every snapshot would be read in.
+        cust = stage(cust.repartition("k"), "fixture_cust").frame
 
     def view(name: str, **sources: DataFrame) -> DataFrame:
         text = FIXTURE_SQL[name]
