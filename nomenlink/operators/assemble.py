@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import KINDS
+from ..sources.staging import shuffled
 from ..version import __version__
 from .candidates import flag_ambiguous
 from .groups import count_if
@@ -75,9 +76,9 @@ def answers(cands: DataFrame, listed: int = LISTED) -> DataFrame:
     wide = cands.groupBy("id").agg(*_wide_aggregates(), *counts).withColumn("_n", sum(several))
     listable = wide.where(F.col("_n").between(1, listed)).select("id", *FLAG_COLUMNS)
     mine = F.when(F.col("code_type") == APHIAID, F.col(FLAG_COLUMNS[0])).otherwise(F.col(FLAG_COLUMNS[1]))
-    entries = cands.join(listable, "id").where(mine).withColumnRenamed("code", "code_sugg")
+    entries = cands.join(shuffled(listable), "id").where(mine).withColumnRenamed("code", "code_sugg")
     lists = entries.groupBy("id").agg(F.collect_list(F.struct(*REPORT_COLUMNS)).alias("report"))
-    return wide.join(lists, "id", "left").select(
+    return wide.join(shuffled(lists), "id", "left").select(
         "id", *WIDE_COLUMNS, *FLAG_COLUMNS, "report", (F.col("_n") > listed).alias("unlisted")
     )
 
@@ -106,8 +107,8 @@ def assemble(names: DataFrame, cands: DataFrame, debug: bool = False) -> Resolve
     check_names_free(names)
     stamp = id_source(debug).alias("id_src")
     inputs = [c for c in names.columns if c != "id"]
-    wide = with_flags(names.join(wide_codes(cands), "id", "left"))
-    report = names.join(ambiguous_codes(cands), "id", "right")
+    wide = with_flags(names.join(shuffled(wide_codes(cands)), "id", "left"))
+    report = names.join(shuffled(ambiguous_codes(cands)), "id", "right")
     return Resolved(
         wide.select(*inputs, *WIDE_COLUMNS, *FLAG_COLUMNS, stamp),
         report.select(*inputs, *REPORT_COLUMNS, stamp),

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import KINDS
 from ..operators.policies import APHIAID, TSN
+from ..sources.staging import shuffled
 
 # --- fixed values: ranks of the searches by name, per code type and kind of name ---
 BEST_RANK = {"scientific": 1, "common": 4}
@@ -46,7 +47,8 @@ def with_link_facts(decided: DataFrame, links: DataFrame) -> DataFrame:
         (F.count("code") > 0).alias("link_any"),
     )
     # Candidates without a code would all meet in one task of the join.
-    coded = decided.where(F.col("code").isNotNull()).join(facts, ["code", "code_type"], "left")
+    coded = decided.where(F.col("code").isNotNull())
+    coded = coded.join(shuffled(facts), ["code", "code_type"], "left")
     return coded.unionByName(decided.where(F.col("code").isNull()), allowMissingColumns=True)
 
 

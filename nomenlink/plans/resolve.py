@@ -56,7 +56,7 @@ from ..operators.policies import (
 )
 from ..sources.authorities import Authorities
 from ..sources.names import check_columns, distinct_names
-from ..sources.staging import Staged, stage, stage_unless_small, written
+from ..sources.staging import Staged, shuffled, stage, stage_unless_small, written
 from .ranking import (
     BEST_RANK,
     ITIS_RANK,
@@ -133,7 +133,7 @@ def put_together(
     elif only == "ambiguous":
         found = found.where(F.col("unlisted") | F.col("report").isNotNull())
     packed = F.struct(*found.columns).alias(ANSWER)
-    found = stage(ids.join(found.select("id", packed), "id").drop("id"), "answers")
+    found = stage(ids.join(shuffled(found.select("id", packed)), "id").drop("id"), "answers")
     # The input meets its answers once, and both results are cut from what is written.
     how = "inner" if only == "ambiguous" else "left"
     both = attach(names, found, keys, how, rows_per_pair, broadcast_bytes)
@@ -183,9 +183,34 @@ def resolve_pairs(
 ) -> Staged:
     """The chosen candidates of ``id, sci_clean, comm_clean`` rows, of both code types.
 
-    ``pairs`` must be stable, as it is read more than once.
+    ``pairs`` must be stable, as it is read more than once. Each distinct pair of names is
+    resolved once, and its candidates are joined to the ids that have it. Rows whose id is
+    null or has several pairs are resolved by id, as their candidates are one group.
     """
-    return stage(resolve_with_links(pairs, authorities, checked, broadcast_bytes)[0], "candidates")
+    keys = ("sci_clean", "comm_clean")
+    pairs = pairs.where(eligible(*map(F.col, keys))).select("id", *keys)
+    pair = F.struct(*keys)
+    ids = pairs.groupBy("id").agg(F.min(pair).alias("pair"), F.max(pair).alias("other"))
+    alone = F.col("id").isNotNull() & F.col("pair").eqNullSafe(F.col("other"))
+    ids = written(ids.select("id", "pair.*", alone.alias("alone")), "ids")
+    asked = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    asked = stage(asked.withColumn("id", F.monotonically_increasing_id()), "distinct_pairs").frame
+
+    decided = stage(search_all(asked, authorities), "decided")
+    links = stage(cross_all(decided.frame, authorities, checked), "links")
+    per_pair = choose(asked.select("id", *keys), decided, links, broadcast_bytes)
+    per_pair = stage(asked.select("id", *keys).join(shuffled(per_pair), "id").drop("id"), "pair_candidates")
+    both = [(c, c) for c in keys]
+    found = attach(
+        ids.where("alone").select("id", *keys), per_pair, both, "inner",
+        lambda: asked.select(*keys, "n"), broadcast_bytes,
+    )
+    found = found.select("id", *CODE_COLUMNS)
+    others = ids.where(~F.col("alone")).select(F.col("id").alias("_id"))
+    if others.limit(1).count():
+        mine = pairs.join(shuffled(others), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+        found = found.unionByName(choose(mine, decided, links, broadcast_bytes))
+    return stage(found, "candidates")
 
 
 def resolve_with_links(
@@ -218,13 +243,15 @@ def choose(
         spelling_facts(linked), "spelling_facts", decided, broadcast_bytes
     )
     known = pairs
+    # No name of the facts is null, so a row without a name goes on without a match.
     for kind, key, prefix in zip(KINDS, ("sci_clean", "comm_clean"), ("sci", "comm")):
         mine = facts.where(F.col("kind") == kind)
         mine = mine.select(
             "name", *(F.col(c).alias(f"{prefix}_{c}") for c in ("best", "worms", "itis"))
         )
         known = attach(
-            known, mine, [(key, "name")], "left", _counts(pairs, name=key), broadcast_bytes
+            known, mine, [(key, "name")], "left", _counts(pairs, name=key), broadcast_bytes,
+            null_keys=False,
         )
         if facts.size > broadcast_bytes:
             # A join split by hot keys reads its rows twice; cut before the next one.
@@ -233,6 +260,7 @@ def choose(
     known = attach(
         known, spellings, both, "left",
         _counts(pairs, comm_clean="comm_clean", sci_clean="sci_clean"), broadcast_bytes,
+        null_keys=False,
     )
     chosen = stage(searches(ranked_pairs(known)), "chosen")
 
@@ -349,7 +377,6 @@ def sent_before(links: DataFrame) -> DataFrame:
 
 
 def _counts(rows: DataFrame, **keys: str) -> Callable[[], DataFrame]:
-    """Rows per key, under the lookup's key names; computed only when asked for."""
-    return lambda: rows.groupBy(*(F.col(c).alias(k) for k, c in keys.items())).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    """One count per row, under the lookup's key names; computed only when asked for."""
+    one = F.lit(1).cast("bigint").alias("n")
+    return lambda: rows.select(*(F.col(c).alias(k) for k, c in keys.items()), one)
