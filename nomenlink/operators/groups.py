@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import written
+from ..sources.staging import shuffled, written
 
 
 def count_if(predicate: Column) -> Column:
@@ -27,7 +27,7 @@ def with_group_stats(
     """Add aggregates of each row's group. The key columns must not hold nulls."""
     df = written(df, "grouped")
     groups = df.groupBy(*keys).agg(*(c.alias(name) for name, c in stats.items()))
-    return df.join(groups, list(keys))
+    return df.join(shuffled(groups), list(keys))
 
 
 def keep_if_any(df: DataFrame, keys: Sequence[str], predicate: Column) -> DataFrame:
@@ -60,4 +60,4 @@ def keep_best_tier(
     per_tier = df.groupBy(*keys, tier).agg(*(c.alias(n) for n, c in stats.items()))
     best = per_tier.groupBy(*keys).agg(F.min(F.struct(tier, *stats)).alias("_best"))
     best = best.select(*keys, "_best.*")
-    return df.join(best, [*keys, tier])
+    return df.join(shuffled(best), [*keys, tier])

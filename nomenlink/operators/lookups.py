@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.authorities import Authorities
-from ..sources.staging import written
+from ..sources.staging import shuffled, written
 from .prefixes import prefix_matches
 
 
@@ -164,8 +164,9 @@ def with_usage(found: DataFrame, authorities: Authorities) -> DataFrame:
     found = written(found, "found")
     # Rows without a TSN would all meet in one task of the join.
     coded = found.where(F.col("tsn").isNotNull())
-    wanted = authorities.itis_units.join(coded.select("tsn").distinct(), "tsn", "left_semi")
-    rated = coded.join(_ratings(wanted), "tsn", "left")
+    wanted = shuffled(coded.select("tsn").distinct())
+    wanted = authorities.itis_units.join(wanted, "tsn", "left_semi")
+    rated = coded.join(shuffled(_ratings(wanted)), "tsn", "left")
     rated = rated.withColumn("is_valid", F.coalesce("is_valid", F.lit(False)))
     return rated.unionByName(
         found.where(F.col("tsn").isNull()).withColumn("is_valid", F.lit(False))
@@ -180,14 +181,14 @@ def with_accepted(found: DataFrame, authorities: Authorities) -> DataFrame:
 def tsns_of(codes: DataFrame, authorities: Authorities) -> DataFrame:
     """All TSNs of each distinct AphiaID in ``code``; a null TSN where there is none."""
     links = authorities.xwalk.where(F.col("tsn").isNotNull()).distinct()
-    return codes.join(links, codes["code"] == links["aphia_id"], "left").select("code", "tsn")
+    return codes.join(shuffled(links), codes["code"] == links["aphia_id"], "left").select("code", "tsn")
 
 
 def records_of(codes: DataFrame, authorities: Authorities) -> DataFrame:
     """All WoRMS records of each distinct TSN in ``code``; nulls where there is none."""
     links = authorities.links_by_tsn
     # Only links of the codes go on to their records.
-    crossed = codes.join(links, codes["code"] == links["tsn"]).select("code", "aphia_id").distinct()
+    crossed = codes.join(shuffled(links), codes["code"] == links["tsn"]).select("code", "aphia_id").distinct()
     taxa = authorities.worms_taxa.select("aphia_id", "valid_aphia_id", "valid_name")
-    found = crossed.join(taxa, "aphia_id").select("code", *taxa.columns).distinct()
-    return codes.join(found, "code", "left")
+    found = crossed.join(shuffled(taxa), "aphia_id").select("code", *taxa.columns).distinct()
+    return codes.join(shuffled(found), "code", "left")

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.staging import written
+from ..sources.staging import shuffled, written
 
 # Numbers that one row makes at once, so that no long list stands in a row.
 _STEP = 4096
@@ -87,4 +87,4 @@ def prefix_matches(
     last = F.least(high, low + (_STEP - 1))
     inside = inside.select(*by, "name", F.explode(F.sequence(low, last)).alias("number"))
     texts = numbered.where("is_text").select("number", "item")
-    return inside.join(texts, "number").select(*by, "name", "item.*")
+    return inside.join(shuffled(texts), "number").select(*by, "name", "item.*")

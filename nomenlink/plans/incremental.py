@@ -28,7 +28,8 @@ from ..operators.policies import APHIAID, CODE_COLUMNS, TSN
 from ..operators.prefixes import prefix_matches
 from ..sources.authorities import Authorities
 from ..sources.names import check_columns
-from ..sources.staging import stage, written
+from ..sources.prepared import PreparedAuthorities
+from ..sources.staging import shuffled, stage, written
 from ..sources.store import VersionedTable
 from .resolve import (
     choose,
@@ -82,17 +83,21 @@ class AnswerStore:
         spark = self.snapshots.spark
         return Authorities(**{n: spark.read.parquet(f) for n, f in held.items()})
 
-    def note(self, authorities: Authorities) -> None:
-        """Keep the snapshots that everything in the store now agrees with."""
-        spark = self.snapshots.spark
+    def keep(self, authorities: Authorities) -> dict[str, str]:
+        """Write the snapshots beside the store, and give the folder of each."""
         base = f"{self.folder}/snapshot-{uuid.uuid4().hex}"
-        lines, names = [], [f.name for f in fields(Authorities)]
-        for name in names:
-            table = getattr(authorities, name)
+        folders = {}
+        for field in fields(Authorities):
+            table = getattr(authorities, field.name)
             if table is not None:
-                table.write.parquet(f"{base}/{name}")
-                lines.append((name, f"{base}/{name}"))
-        rows = spark.createDataFrame(lines, _TABLES["snapshots"][0])
+                folders[field.name] = f"{base}/{field.name}"
+                table.write.parquet(folders[field.name])
+        return folders
+
+    def note(self, folders: dict[str, str]) -> None:
+        """Say that everything in the store now agrees with the snapshots kept there."""
+        spark, names = self.snapshots.spark, [f.name for f in fields(Authorities)]
+        rows = spark.createDataFrame(list(folders.items()), _TABLES["snapshots"][0])
         self.snapshots.upsert(rows, spark.createDataFrame([(n,) for n in names], "name string"))
 
     def compact(self) -> None:
@@ -105,14 +110,23 @@ class _Changes:
 
     def __init__(self, old: Authorities, new: Authorities):
         self.old, self.new = old, new
+        self._lines: dict[str, DataFrame] = {}
 
     def both(self, name: str) -> DataFrame:
         return getattr(self.old, name).unionByName(getattr(self.new, name))
 
     def lines(self, name: str) -> DataFrame:
-        """The lines that only one of them has; repeated lines say nothing."""
-        old, new = getattr(self.old, name), getattr(self.new, name)
-        return old.subtract(new).unionByName(new.subtract(old))
+        """The lines that only one of them has, written once; repeated lines say nothing."""
+        if name not in self._lines:
+            old, new = getattr(self.old, name), getattr(self.new, name)
+            # One aggregate over both tells which of them has a line; null equals null.
+            sides = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)))
+            sides = sides.groupBy(*old.columns).agg(
+                F.min("_side").alias("_first"), F.max("_side").alias("_last")
+            )
+            found = sides.where(F.col("_first") == F.col("_last")).select(*old.columns)
+            self._lines[name] = written(found, f"changed_{name}")
+        return self._lines[name]
 
     def ids(self, key: str, *names: str) -> DataFrame:
         parts = [self.lines(n).select(key) for n in names]
@@ -133,19 +147,19 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return first.where(F.col("text").isNotNull()).distinct()
 
 
-def touched_names(old: Authorities, new: Authorities, known: DataFrame) -> DataFrame:
+def touched_names(found: _Changes, known: DataFrame) -> DataFrame:
     """The ``kind, name`` rows of ``known`` whose search could have met a changed line."""
+    old, new = found.old, found.new
     if (old.worms_best_match is None) != (new.worms_best_match is None):
         return known
-    found = _Changes(old, new)
     records = written(found.ids("aphia_id", "worms_taxa"), "changed_records")
     units = written(found.ids("tsn", "itis_units", "itis_synonyms"), "changed_units")
 
     def of_records(name: str) -> DataFrame:
-        return found.both(name).join(records, "aphia_id", "left_semi")
+        return found.both(name).join(shuffled(records), "aphia_id", "left_semi")
 
     def of_units(name: str) -> DataFrame:
-        return found.both(name).join(units, "tsn", "left_semi")
+        return found.both(name).join(shuffled(units), "tsn", "left_semi")
 
     whole = [
         _texts("scientific", found.lines("worms_taxa"), "scientificname"),
@@ -169,23 +183,23 @@ def touched_names(old: Authorities, new: Authorities, known: DataFrame) -> DataF
         ]
     )
     parts.append(prefix_matches(known, written(leading, "changed_units"), ["kind"], whole_words=True))
-    parts.append(known.join(_union(whole).withColumnRenamed("text", "name"), ["kind", "name"], "left_semi"))
+    equal = shuffled(_union(whole).withColumnRenamed("text", "name"))
+    parts.append(known.join(equal, ["kind", "name"], "left_semi"))
     names = parts[0].select("kind", "name")
     for part in parts[1:]:
         names = names.unionByName(part.select("kind", "name"))
     return names.distinct()
 
 
-def touched_codes(old: Authorities, new: Authorities) -> DataFrame:
+def touched_codes(found: _Changes) -> DataFrame:
     """The ``code_type, code`` whose crosswalk could have passed a changed line."""
-    found = _Changes(old, new)
     crossed, links = found.lines("xwalk"), found.both("xwalk")
     rated, records = found.ids("tsn", "itis_units"), found.ids("aphia_id", "worms_taxa")
     to_tsn = crossed.select("aphia_id").unionByName(
-        links.join(rated, "tsn", "left_semi").select("aphia_id")
+        links.join(shuffled(rated), "tsn", "left_semi").select("aphia_id")
     )
     to_aphia = crossed.select("tsn").unionByName(
-        links.join(records, "aphia_id", "left_semi").select("tsn")
+        links.join(shuffled(records), "aphia_id", "left_semi").select("tsn")
     )
     codes = to_tsn.select(F.lit(APHIAID).alias("code_type"), F.col("aphia_id").alias("code"))
     codes = codes.unionByName(
@@ -228,7 +242,7 @@ def resolve_incrementally(
     keyed = keyed.select("id", sci_key, comm_key)
     _update(store, keyed.select(*_PAIR).distinct(), authorities, broadcast_bytes)
 
-    cands = keyed.join(store.answers.read(), list(_PAIR)).select("id", *CODE_COLUMNS)
+    cands = keyed.join(shuffled(store.answers.read()), list(_PAIR)).select("id", *CODE_COLUMNS)
     columns = {"sci_raw": sci_col, "comm_raw": comm_col}
     result = put_together(names, pairs, cands, columns, debug, broadcast_bytes, only, listed)
     return result._replace(links=store.links.read())
@@ -239,6 +253,12 @@ def _update(
 ) -> None:
     """Bring the store up to the snapshots, and let it know the asked pairs."""
     before = store.snapshot()
+    kept = store.keep(authorities)
+    if not isinstance(authorities, PreparedAuthorities):
+        # The run reads the snapshots that it keeps, so what gives them runs once.
+        read = store.snapshots.spark.read
+        authorities = Authorities(**{n: read.parquet(f) for n, f in kept.items()})
+    changes = None if before is None else _Changes(before, authorities)
     known = store.decided.known_keys().withColumnRenamed("code_src", "kind")
     asked = written(asked, "asked")
     null = lambda c: F.when(F.col(c) != _MISSING, F.col(c))
@@ -247,9 +267,9 @@ def _update(
         return rows.withColumns({"sci_clean": null("sci_key"), "comm_clean": null("comm_key")})
 
     # Names: those never searched, and those that a changed line touches.
-    to_search = names_of(cleaned(asked)).join(known, ["kind", "name"], "left_anti")
-    if before is not None:
-        to_search = to_search.unionByName(touched_names(before, authorities, known))
+    to_search = names_of(cleaned(asked)).join(shuffled(known), ["kind", "name"], "left_anti")
+    if changes is not None:
+        to_search = to_search.unionByName(touched_names(changes, known))
     to_search = written(to_search.select("kind", "name"), "to_search")
     decided = search_names(to_search, authorities)
     store.decided.upsert(decided, to_search.withColumnRenamed("kind", "code_src"))
@@ -258,11 +278,11 @@ def _update(
     # Codes: those that a candidate has and nobody sent, and those that a change touches.
     answered = store.links.known_keys().select(_other("code_type").alias("code_type"), F.col("sent").alias("code"))
     coded = decided.select("code_type", "code", "name", F.col("code_src").alias("kind"))
-    to_send = codes_to_send(decided).join(answered, ["code_type", "code"], "left_anti")
+    to_send = codes_to_send(decided).join(shuffled(answered), ["code_type", "code"], "left_anti")
     changed = to_send.limit(0)
-    if before is not None:
+    if changes is not None:
         changed = written(
-            answered.join(touched_codes(before, authorities), ["code_type", "code"], "left_semi"),
+            answered.join(shuffled(touched_codes(changes)), ["code_type", "code"], "left_semi"),
             "changed_codes",
         )
     to_send = written(to_send.unionByName(changed), "to_send")
@@ -270,26 +290,26 @@ def _update(
     store.links.upsert(cross_codes(to_send, authorities), sent)
 
     # Pairs: new ones, and those with such a name or a name with such a code.
-    again = coded.join(changed, ["code_type", "code"], "left_semi").select("kind", "name")
+    again = coded.join(shuffled(changed), ["code_type", "code"], "left_semi").select("kind", "name")
     again = written(again.unionByName(to_search).distinct(), "names_again")
     held = store.answers.known_keys()
     by_name = [
         held.join(
-            again.where(F.col("kind") == kind).select(F.col("name").alias(key)), key, "left_semi"
+            shuffled(again.where(F.col("kind") == kind).select(F.col("name").alias(key))), key, "left_semi"
         )
         for kind, key in zip(("scientific", "common"), _PAIR)
     ]
-    fresh = asked.join(held, list(_PAIR), "left_anti")
+    fresh = asked.join(shuffled(held), list(_PAIR), "left_anti")
     todo = fresh.unionByName(by_name[0]).unionByName(by_name[1]).distinct()
     todo = written(todo.withColumn("id", F.monotonically_increasing_id()), "pairs_again")
 
     wanted = names_of(cleaned(todo)).withColumnRenamed("kind", "code_src")
-    decided = stage(decided.join(wanted, ["name", "code_src"], "left_semi"), "decided")
+    decided = stage(decided.join(shuffled(wanted), ["name", "code_src"], "left_semi"), "decided")
     codes = decided.frame.where(F.col("code").isNotNull()).select(
         _other("code_type").alias("code_type"), F.col("code").alias("sent")
     )
-    links = stage(store.links.read().join(codes.distinct(), ["sent", "code_type"], "left_semi"), "links")
+    links = stage(store.links.read().join(shuffled(codes.distinct()), ["sent", "code_type"], "left_semi"), "links")
     chosen = choose(cleaned(todo).select("id", "sci_clean", "comm_clean"), decided, links, broadcast_bytes)
-    rows = todo.join(chosen, "id").drop("id")
+    rows = todo.join(shuffled(chosen), "id").drop("id")
     store.answers.upsert(rows, todo)
-    store.note(authorities)
+    store.note(kept)

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .staging import shuffled
+
 _LINES = "version long, folder string, whole boolean"
 
 
@@ -53,7 +55,7 @@ class VersionedTable:
         """The current rows."""
         now = self._current()
         rows = self._parts("rows", self.schema)
-        return rows.join(now, [*self.keys, "_version"], "left_semi").drop("_version")
+        return rows.join(shuffled(now), [*self.keys, "_version"], "left_semi").drop("_version")
 
     def known_keys(self) -> DataFrame:
         """Every key that some version speaks for, also those without rows."""
